@@ -181,3 +181,202 @@ FROM (SELECT produit, machine, concat_ws(',',
         _METRICS,
     ),
 }
+
+
+# --- second batch --------------------------------------------------------------
+_DATA_COLS = [
+    "code_of", "produit", "atelier", "machine", "qte_produite", "duree_totale_min", "duree_arrets_min",
+    "temps_net_min", "cadence_reelle", "cadence_theorique", "ecart_pct", "disponibilite_pct", "performance_pct",
+    "qualite_pct", "trs_pct",
+]
+_PROFILE_COLS = [*_DATA_COLS, "source_file"]
+_CELLS = "cells AS (\n" + "\n  UNION ALL ".join(
+    f"SELECT {i} AS pos, '{'_source_file' if c == 'source_file' else c}' AS col, CAST({c} AS VARCHAR) AS value, "
+    "source_file AS f, row_index AS ri FROM v"
+    for i, c in enumerate(_PROFILE_COLS)
+) + "\n)"
+
+_WORK = f"""
+work AS (SELECT * FROM hist WHERE produit IS NOT NULL AND machine IS NOT NULL AND {_NB}),
+stats AS (
+  SELECT produit, machine, count(*) AS n_of,
+    count(cadence_reelle) AS nr, {mean("cadence_reelle")} AS mr, stddev_samp(cadence_reelle) AS sr,
+    count(trs_pct) AS nt, {mean("trs_pct")} AS mt, stddev_samp(trs_pct) AS st
+  FROM work GROUP BY produit, machine
+),
+outl AS (
+  SELECT w.code_of, w.produit, w.machine, 'cadence_reelle' AS metric, w.cadence_reelle AS value,
+         s.mr AS group_mean, s.sr AS group_std, (w.cadence_reelle - s.mr) / s.sr AS z_score
+  FROM work w JOIN stats s ON w.produit = s.produit AND w.machine = s.machine
+  WHERE s.n_of >= 3 AND s.nr >= 3 AND s.sr IS NOT NULL AND s.sr <> 0 AND w.cadence_reelle IS NOT NULL
+    AND abs((w.cadence_reelle - s.mr) / s.sr) > 2.0e0
+  UNION ALL
+  SELECT w.code_of, w.produit, w.machine, 'trs_pct', w.trs_pct, s.mt, s.st, (w.trs_pct - s.mt) / s.st
+  FROM work w JOIN stats s ON w.produit = s.produit AND w.machine = s.machine
+  WHERE s.n_of >= 3 AND s.nt >= 3 AND s.st IS NOT NULL AND s.st <> 0 AND w.trs_pct IS NOT NULL
+    AND abs((w.trs_pct - s.mt) / s.st) > 2.0e0
+)"""
+
+_RECS = _WORK + f""",
+rrows AS (
+  SELECT h.*, (h.code_of NOT IN (SELECT code_of FROM outl)) AND h.{_NB} AS usable
+  FROM hist h WHERE h.produit IS NOT NULL AND h.machine IS NOT NULL
+),
+rcounts AS (
+  SELECT produit, machine, count(*) AS n_of_disponibles, count(*) FILTER (WHERE usable) AS n_of_utilises,
+         {mean("cadence_theorique")} AS theo
+  FROM rrows GROUP BY produit, machine
+),
+rtop AS (
+  SELECT produit, machine, count(*) AS n_ref, {mean("cadence_reelle")} AS rec, {mean("trs_pct")} AS trs_ref
+  FROM (SELECT *, row_number() OVER (PARTITION BY produit, machine ORDER BY trs_pct DESC, code_of) AS rk
+        FROM rrows WHERE usable AND trs_pct IS NOT NULL AND cadence_reelle IS NOT NULL)
+  WHERE rk <= 3 GROUP BY produit, machine
+),
+recs AS (
+  SELECT c.produit, c.machine, (c.n_of_utilises >= 3 AND t.n_ref IS NOT NULL) AS fiable,
+    c.n_of_disponibles, c.n_of_utilises, c.theo AS cadence_theorique_actuelle, t.n_ref, t.rec, t.trs_ref
+  FROM rcounts c LEFT JOIN rtop t ON c.produit = t.produit AND c.machine = t.machine
+),
+recs2 AS (
+  SELECT produit, machine, fiable, n_of_disponibles, n_of_utilises,
+    CASE WHEN fiable THEN n_ref ELSE 0 END AS n_of_reference,
+    cadence_theorique_actuelle,
+    CASE WHEN fiable THEN rec END AS cadence_recommandee,
+    CASE WHEN fiable THEN trs_ref END AS trs_moyen_reference,
+    CASE WHEN fiable AND cadence_theorique_actuelle IS NOT NULL AND cadence_theorique_actuelle <> 0
+         THEN (rec - cadence_theorique_actuelle) / cadence_theorique_actuelle * 100.0e0 END AS ecart_vs_theorique_pct
+  FROM recs
+),
+recs3 AS (
+  SELECT *, CASE WHEN NOT fiable THEN 'INSUFFICIENT_HISTORY'
+      WHEN ecart_vs_theorique_pct IS NULL THEN 'NO_THEORETICAL_REFERENCE'
+      WHEN floor(ecart_vs_theorique_pct * 10.0e0 + 0.5e0) / 10.0e0 > 5 THEN 'ABOVE_THEORETICAL'
+      WHEN floor(ecart_vs_theorique_pct * 10.0e0 + 0.5e0) / 10.0e0 < -5 THEN 'BELOW_THEORETICAL'
+      ELSE 'CLOSE_TO_THEORETICAL' END AS justification_code
+  FROM recs2
+)"""
+
+_BLOCKED = """
+blk AS (SELECT * FROM hist WHERE quality_severity = 'BLOQUANT'),
+blkf AS (
+  SELECT b.source_file, b.row_index, b.code_of, b.machine, b.produit, x.rule, x."column"
+  FROM blk b JOIN findings x ON x.source_file = b.source_file AND x.row_index = b.row_index
+  WHERE x.severity = 'BLOQUANT'
+)"""
+
+ORACLE.update({
+    "formula_audit": with_base(
+        f"""SELECT formula, tolerance, CAST(n_bad AS BIGINT) AS n_bad, CAST(n_total AS BIGINT) AS n_total,
+  {r4("CASE WHEN n_total > 0 THEN n_bad * 100.0e0 / n_total END")} AS pct_bad
+FROM (
+  SELECT 'temps_net' AS formula, 0.5e0 AS tolerance,
+    count(*) FILTER (WHERE abs(duree_totale_min - duree_arrets_min - temps_net_min) > 0.5e0) AS n_bad, count(*) AS n_total FROM v
+  UNION ALL SELECT 'ecart', 1.0e0,
+    count(*) FILTER (WHERE cadence_theorique IS DISTINCT FROM 0.0e0
+      AND abs((cadence_reelle - cadence_theorique) / cadence_theorique * 100.0e0 - ecart_pct) > 1.0e0),
+    count(*) FILTER (WHERE cadence_theorique IS DISTINCT FROM 0.0e0) FROM v
+  UNION ALL SELECT 'trs', 1.0e0,
+    count(*) FILTER (WHERE abs(disponibilite_pct * performance_pct * qualite_pct / 10000.0e0 - trs_pct) > 1.0e0),
+    count(*) FROM v
+)"""
+    ),
+    "duplicate_keys": with_base(
+        """SELECT source_file, CAST(sum(n - 1) AS BIGINT) AS n_duplicate_rows, CAST(count(*) FILTER (WHERE n > 1) AS BIGINT) AS n_duplicated_keys
+FROM (SELECT source_file, code_of, machine, count(*) AS n FROM v GROUP BY source_file, code_of, machine)
+GROUP BY source_file"""
+    ),
+    "column_profile": with_base(
+        f"""SELECT t.pos, t.col AS "column", t.n_missing, {r4("t.n_missing * 100.0e0 / t.n_total")} AS pct_missing,
+  coalesce(u.n_unique, 0) AS n_unique, s.sample_values, (coalesce(u.n_unique, 0) > 0 AND coalesce(u.n_unique, 0) <= 50) AS is_candidate_dimension
+FROM (SELECT pos, col, count(*) AS n_total, count(*) FILTER (WHERE value IS NULL) AS n_missing FROM cells GROUP BY pos, col) t
+LEFT JOIN (SELECT pos, count(*) AS n_unique FROM firsts GROUP BY pos) u ON u.pos = t.pos
+LEFT JOIN (SELECT pos, string_agg(value, ', ' ORDER BY f, ri) AS sample_values
+           FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY f, ri) AS k FROM firsts) WHERE k <= 5
+           GROUP BY pos) s ON s.pos = t.pos""",
+        _CELLS + """,
+firsts AS (
+  SELECT pos, value, f, ri FROM (
+    SELECT pos, value, f, ri, row_number() OVER (PARTITION BY pos, value ORDER BY f, ri) AS rn
+    FROM cells WHERE value IS NOT NULL) WHERE rn = 1
+)""",
+    ),
+    "missing_actual_rate": with_base(
+        "SELECT source_file, row_index, code_of, machine, produit, qte_produite FROM v WHERE cadence_reelle IS NULL"
+    ),
+    "load_dedup": with_base(
+        "SELECT code_of, produit, atelier, machine, qte_produite, "
+        + ", ".join(f"{r4(c)} AS {c}" for c in _DATA_COLS[5:])
+        + ", quality_severity, source_file, row_index FROM hist"
+    ),
+    "import_log": with_base(
+        """SELECT e.source_file, e.n AS n_rows_extracted, coalesce(i.n, 0) AS n_rows_inserted,
+  e.n - coalesce(i.n, 0) - e.nk AS n_rows_skipped_duplicate, e.nk AS n_rows_rejected_null_key,
+  coalesce(x.nb, 0) AS n_bloquant, coalesce(x.na, 0) AS n_avertissement, coalesce(x.ni, 0) AS n_info
+FROM (SELECT source_file, count(*) AS n, count(*) FILTER (WHERE code_of IS NULL OR machine IS NULL) AS nk FROM v GROUP BY source_file) e
+LEFT JOIN (SELECT source_file, count(*) AS n FROM hist GROUP BY source_file) i ON i.source_file = e.source_file
+LEFT JOIN (SELECT source_file, CAST(count(*) FILTER (WHERE severity = 'BLOQUANT') AS BIGINT) AS nb,
+                  CAST(count(*) FILTER (WHERE severity = 'AVERTISSEMENT') AS BIGINT) AS na,
+                  CAST(count(*) FILTER (WHERE severity = 'INFO') AS BIGINT) AS ni
+           FROM findings GROUP BY source_file) x ON x.source_file = e.source_file"""
+    ),
+    "machine_stability": with_base(
+        f"""SELECT machine, count(*) AS n_of, {r4(f'stddev_samp(cadence_reelle) / {mean("cadence_reelle")} * 100.0e0')} AS coefficient_variation_pct
+FROM hist WHERE {_NB} AND cadence_reelle IS NOT NULL AND machine IS NOT NULL
+GROUP BY machine
+HAVING count(*) >= 3 AND {mean("cadence_reelle")} <> 0 AND stddev_samp(cadence_reelle) IS NOT NULL"""
+    ),
+    "stability_summary": with_base(
+        f"""SELECT a.n_machines, b.n_ranked, a.n_machines - b.n_ranked AS n_machines_non_evaluees
+FROM (SELECT count(DISTINCT machine) AS n_machines FROM hist) a,
+     (SELECT count(*) AS n_ranked FROM (SELECT machine FROM hist
+        WHERE {_NB} AND cadence_reelle IS NOT NULL AND machine IS NOT NULL GROUP BY machine
+        HAVING count(*) >= 3 AND {mean("cadence_reelle")} <> 0 AND stddev_samp(cadence_reelle) IS NOT NULL)) b"""
+    ),
+    "dimension_summary": with_base(
+        "SELECT count(*) AS n_rows, count(DISTINCT produit) AS n_produits, count(DISTINCT machine) AS n_machines FROM hist"
+    ),
+    "blocking_by_rule": with_base(
+        f"""SELECT rule, count(*) AS occurrences, (SELECT count(*) FROM blk) AS n_blocked_rows,
+  {r4("count(*) * 100.0e0 / (SELECT count(*) FROM blk)")} AS pct_rows,
+  first(code_of ORDER BY source_file, row_index) AS example_code_of,
+  first(machine ORDER BY source_file, row_index) AS example_machine,
+  first(produit ORDER BY source_file, row_index) AS example_produit
+FROM blkf GROUP BY rule""",
+        _BLOCKED,
+    ),
+    "blocking_by_column": with_base(
+        """SELECT "column", count(*) AS occurrences FROM blkf WHERE "column" IS NOT NULL AND "column" <> '' GROUP BY "column\"""",
+        _BLOCKED,
+    ),
+    "to_fix_list": with_base(
+        f"""SELECT code_of, produit, machine, {r4("cadence_theorique")} AS cadence_theorique_saisie,
+  {r4("cadence_reelle")} AS cadence_reelle_observee
+FROM blk b WHERE EXISTS (SELECT 1 FROM findings x WHERE x.source_file = b.source_file AND x.row_index = b.row_index
+  AND x.rule = 'percentage_ceiling_exceeded' AND x.severity = 'BLOQUANT')""",
+        _BLOCKED,
+    ),
+    "zscore_outliers": with_base(
+        "SELECT code_of, produit, machine, metric, "
+        + ", ".join(f"{r4(c)} AS {c}" for c in ("value", "group_mean", "group_std", "z_score"))
+        + " FROM outl",
+        _WORK,
+    ),
+    "short_history": with_base(
+        "SELECT produit, machine, n_of, 3 AS min_required FROM stats WHERE n_of < 3", _WORK
+    ),
+    "outlier_couples": with_base(
+        "SELECT count(*) AS n_couples_with_outlier FROM (SELECT DISTINCT produit, machine FROM outl)", _WORK
+    ),
+    "recommendations": with_base(
+        "SELECT produit, machine, fiable, n_of_disponibles, n_of_utilises, n_of_reference, "
+        + ", ".join(f"{r4(c)} AS {c}" for c in (
+            "cadence_theorique_actuelle", "cadence_recommandee", "trs_moyen_reference", "ecart_vs_theorique_pct"))
+        + ", justification_code FROM recs3",
+        _RECS,
+    ),
+    "reliability_counts": with_base(
+        "SELECT count(*) FILTER (WHERE fiable) AS n_fiables, count(*) FILTER (WHERE NOT fiable) AS n_non_fiables FROM recs3",
+        _RECS,
+    ),
+})

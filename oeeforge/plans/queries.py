@@ -16,9 +16,15 @@ from pyspark.sql import functions as F
 from oeeforge import schema as S
 from oeeforge.config import DEFAULT
 from oeeforge.functions.columns import round_doubles
+from oeeforge.operators import diagnosis as D
+from oeeforge.operators import load as L
 from oeeforge.operators import metrics as A
+from oeeforge.operators import outliers as O
+from oeeforge.operators import profile as P
 from oeeforge.operators import quality as Q
+from oeeforge.operators import recommend as R
 from oeeforge.plans import jobs
+from oeeforge.sources.production_view import production_view
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,11 +61,113 @@ def conclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select(*S.COUPLE, F.array_join("conclusion_codes", ",").alias("conclusion_codes"))
 
 
+def formula_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_doubles(P.formula_audit(production_view(spark, sf_dir), DEFAULT.quality))
+
+
+def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.duplicate_rows(production_view(spark, sf_dir))
+
+
+def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prof = P.column_profile(production_view(spark, sf_dir), [*S.DATA_COLUMNS, S.SOURCE_FILE], DEFAULT.profile)
+    return round_doubles(prof.drop("dtype"))
+
+
+def missing_actual_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.missing_actual_rate(production_view(spark, sf_dir))
+
+
+HISTORY_OUT = [*S.DATA_COLUMNS, "quality_severity", "source_file", "row_index"]
+
+
+def load_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_doubles(jobs.history_view(spark, sf_dir).select(*HISTORY_OUT))
+
+
+def import_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checked = jobs.checked_view(spark, sf_dir)
+    inserted = jobs.history_from_checked(checked)
+    return L.import_audit(checked, inserted)
+
+
+def machine_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_doubles(A.machine_stability(jobs.analysis_view(spark, sf_dir), DEFAULT.anomalies))
+
+
+def stability_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = jobs.analysis_view(spark, sf_dir)
+    return A.unevaluated_machines(h, A.machine_stability(h, DEFAULT.anomalies))
+
+
+def dimension_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.dimension_summary(jobs.analysis_view(spark, sf_dir))
+
+
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.history_view(spark, sf_dir)
+
+
+def blocking_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_doubles(D.blocking_by_rule(_history(spark, sf_dir)).drop("example_message"))
+
+
+def blocking_by_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.blocking_by_column(_history(spark, sf_dir))
+
+
+def to_fix_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_doubles(D.to_fix_list(_history(spark, sf_dir)))
+
+
+def zscore_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_doubles(jobs.outliers_of(jobs.analysis_view(spark, sf_dir)))
+
+
+def short_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.short_history(jobs.analysis_view(spark, sf_dir), DEFAULT.anomalies, DEFAULT.analytics.exclude_bloquant)
+
+
+def outlier_couples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.outlier_couples(jobs.outliers_of(jobs.analysis_view(spark, sf_dir)))
+
+
+def _recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = jobs.analysis_view(spark, sf_dir)
+    recs = R.recommendations(h, jobs.outliers_of(h), DEFAULT.recommendation, DEFAULT.analytics.exclude_bloquant)
+    return R.with_justification(recs, DEFAULT.recommendation)
+
+
+def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_doubles(_recommendations(spark, sf_dir).drop("justification"))
+
+
+def reliability_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.reliability_counts(_recommendations(spark, sf_dir))
+
+
 def registry() -> dict[str, Query]:
     return {
         "quality_findings": quality_findings,
         "quality_counts": quality_counts,
         "row_severity": row_severity,
+        "formula_audit": formula_audit,
+        "duplicate_keys": duplicate_keys,
+        "column_profile": column_profile,
+        "missing_actual_rate": missing_actual_rate,
+        "load_dedup": load_dedup,
+        "import_log": import_log,
         "couple_metrics": couple_metrics,
         "conclusions": conclusions,
+        "machine_stability": machine_stability,
+        "stability_summary": stability_summary,
+        "dimension_summary": dimension_summary,
+        "blocking_by_rule": blocking_by_rule,
+        "blocking_by_column": blocking_by_column,
+        "to_fix_list": to_fix_list,
+        "zscore_outliers": zscore_outliers,
+        "short_history": short_history,
+        "outlier_couples": outlier_couples,
+        "recommendations": recommendations,
+        "reliability_counts": reliability_counts,
     }
