@@ -14,6 +14,7 @@ from oeeforge.config import AppConfig, DEFAULT
 from oeeforge.operators import load as L
 from oeeforge.operators import outliers as O
 from oeeforge.operators import quality as Q
+from oeeforge.session import ensure_checkpoint_dir
 from oeeforge.sources.production_view import production_view
 
 
@@ -27,9 +28,22 @@ def history_from_checked(checked: DataFrame, batch_id: str = "view", stored_keys
     return L.rows_to_insert(L.to_history(checked, batch_id), stored_keys)
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the session's ``spark.checkpoint.dir`` (shared on a cluster).
+
+    Used where several branches read one intermediate (the history, resolved
+    questions): it is computed once and survives executor loss.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def history_view(spark: SparkSession, sf_dir: str, cfg: AppConfig = DEFAULT) -> DataFrame:
-    """The history a single load of the whole production view into an empty table yields."""
-    return history_from_checked(checked_view(spark, sf_dir, cfg))
+    """The history a single load of the whole production view into an empty table yields.
+
+    Materialized once, like the written history table analyses read in production.
+    """
+    return materialize(history_from_checked(checked_view(spark, sf_dir, cfg)))
 
 
 def analysis_view(spark: SparkSession, sf_dir: str, cfg: AppConfig = DEFAULT) -> DataFrame:

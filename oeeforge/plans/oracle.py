@@ -380,3 +380,136 @@ FROM blk b WHERE EXISTS (SELECT 1 FROM findings x WHERE x.source_file = b.source
         _RECS,
     ),
 })
+
+
+# --- question answering ------------------------------------------------------------
+def _intent_case(text: str) -> str:
+    rules = [
+        ("TRS_TREND", ["baisse", "évolution du trs", "tendance", "évolue"]),
+        ("STABLE_MACHINES", ["stable", "stables", "instable", "instables"]),
+        ("RECOMMEND_CADENCE", ["cadence recommand", "quelle cadence", "cadence optimale", "meilleure cadence",
+                               "recommandes-tu", "recommande"]),
+        ("WHY_LOW_PERFORMANCE", ["pourquoi", "performant", "performance"]),
+    ]
+    whens = " ".join(
+        "WHEN " + " OR ".join(f"contains(lower({text}), '{w}')" for w in words) + f" THEN '{name}'"
+        for name, words in rules
+    )
+    return f"CASE {whens} ELSE 'UNKNOWN' END"
+
+
+_QUESTIONS = f"""
+prods AS (SELECT DISTINCT produit FROM hist WHERE produit IS NOT NULL),
+machs AS (SELECT DISTINCT machine FROM hist WHERE machine IS NOT NULL),
+ateliers AS (SELECT DISTINCT atelier FROM hist WHERE atelier IS NOT NULL),
+qs AS (
+  SELECT concat('conv-', conv_id, '-', turn) AS question_id, text FROM conversations WHERE role = 'user'
+  UNION ALL SELECT concat('gen-rec-', produit),
+    concat('Quelle cadence recommandes-tu pour le produit ', upper(regexp_extract(produit, '\\[([^\\]]+)\\]', 1)), ' ?') FROM prods
+  UNION ALL SELECT concat('gen-perf-', machine), concat('Pourquoi la ', machine, ' est-elle moins performante ?') FROM machs
+  UNION ALL SELECT concat('gen-best-', machine), concat('Quelle est la meilleure cadence sur la ', machine, ' ?') FROM machs
+  UNION ALL SELECT concat('gen-stable-', atelier), concat('Quelles machines de l''', atelier, ' sont les plus stables ?') FROM ateliers
+  UNION ALL SELECT concat('gen-trend-', atelier), concat('Comment évolue le TRS de l''', atelier, ' ?') FROM ateliers
+),
+qi AS (SELECT question_id, text, {_intent_case("text")} AS intent FROM qs),
+codes AS (
+  SELECT code, max(produit) AS produit, min(produit) AS probe_label
+  FROM (SELECT produit, upper(regexp_extract(produit, '\\[([^\\]]+)\\]', 1)) AS code FROM prods)
+  WHERE code <> '' GROUP BY code
+),
+words AS (
+  SELECT DISTINCT produit, word FROM (
+    SELECT produit, unnest(string_split_regex(lower(trim(regexp_replace(produit, '\\[[^\\]]+\\]', '', 'g'), ' -')), '\\s+')) AS word
+    FROM prods) WHERE length(word) >= 5
+),
+pc AS (SELECT q.question_id, arg_min(c.produit, c.probe_label) AS p_code
+       FROM qs q JOIN codes c ON contains(upper(q.text), c.code) GROUP BY q.question_id),
+pw AS (SELECT q.question_id, min(w.produit) AS p_word
+       FROM qs q JOIN words w ON contains(lower(q.text), w.word) GROUP BY q.question_id),
+mn AS (SELECT q.question_id, first(m.machine ORDER BY length(m.machine) DESC, m.machine) AS m_name
+       FROM qs q JOIN machs m ON contains(lower(q.text), lower(m.machine)) GROUP BY q.question_id),
+res AS (
+  SELECT qi.question_id, qi.intent, coalesce(pc.p_code, pw.p_word) AS produit,
+    CASE WHEN pc.p_code IS NOT NULL THEN 'code' WHEN pw.p_word IS NOT NULL THEN 'word' END AS produit_via,
+    mn.m_name AS machine, CASE WHEN mn.m_name IS NOT NULL THEN 'name' END AS machine_via
+  FROM qi LEFT JOIN pc ON pc.question_id = qi.question_id LEFT JOIN pw ON pw.question_id = qi.question_id
+  LEFT JOIN mn ON mn.question_id = qi.question_id
+)"""
+
+
+def _matches(table: str, cols: str) -> str:
+    return f"""
+  SELECT r.question_id, {cols} FROM res r JOIN {table} t ON r.produit = t.produit AND r.machine = t.machine
+  UNION ALL SELECT r.question_id, {cols} FROM res r JOIN {table} t ON r.produit = t.produit WHERE r.machine IS NULL
+  UNION ALL SELECT r.question_id, {cols} FROM res r JOIN {table} t ON r.machine = t.machine WHERE r.produit IS NULL"""
+
+
+_CONCL = """
+concl AS (
+  SELECT *, CASE WHEN codes = '' THEN 'NOTHING_NOTABLE' ELSE codes END AS conclusion_codes
+  FROM (SELECT *, concat_ws(',',
+      CASE WHEN n_of < 3 THEN 'LIMITED_HISTORY' END,
+      CASE WHEN n_excluded_bloquant > 0 THEN 'EXCLUDED_BLOCKING' END,
+      CASE WHEN trs_moy IS NULL THEN NULL WHEN trs_moy < 50.0e0 THEN 'TRS_LOW' WHEN trs_moy < 75.0e0 THEN 'TRS_MODERATE' ELSE 'TRS_GOOD' END,
+      CASE WHEN stabilite_cv IS NULL THEN NULL WHEN stabilite_cv > 30.0e0 THEN 'UNSTABLE' ELSE 'STABLE' END) AS codes
+    FROM metrics)
+)"""
+
+_REC_COLS = ("t.produit, t.machine, t.fiable, t.n_of_utilises, t.n_of_reference, t.cadence_theorique_actuelle, "
+             "t.cadence_recommandee, t.ecart_vs_theorique_pct, t.trs_moyen_reference, t.justification_code")
+_PERF_COLS = "t.produit, t.machine, t.n_of, t.trs_moy, t.stabilite_cv, t.conclusion_codes"
+
+ORACLE.update({
+    "intent_counts": with_base(
+        "SELECT intent, count(*) AS n_questions FROM qi GROUP BY intent", _QUESTIONS),
+    "product_index": with_base("SELECT code, produit, probe_label FROM codes", _QUESTIONS),
+    "entity_resolution": with_base(
+        "SELECT question_id, intent, produit, produit_via, machine, machine_via FROM res", _QUESTIONS),
+    "recommendation_lookup": with_base(
+        f"""SELECT r.question_id,
+  CASE WHEN r.produit IS NULL AND r.machine IS NULL THEN 'NO_ENTITY' WHEN b.question_id IS NULL THEN 'NO_DATA'
+       WHEN NOT b.fiable THEN 'INSUFFICIENT_HISTORY' ELSE 'OK' END AS status,
+  r.produit, r.machine, b.produit AS answer_produit, b.machine AS answer_machine, b.fiable, b.n_of_utilises,
+  b.n_of_reference, {r4("b.cadence_theorique_actuelle")} AS cadence_theorique_actuelle,
+  {r4("b.cadence_recommandee")} AS cadence_recommandee, {r4("b.ecart_vs_theorique_pct")} AS ecart_vs_theorique_pct,
+  {r4("b.trs_moyen_reference")} AS trs_moyen_reference, b.justification_code
+FROM res r LEFT JOIN (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id
+      ORDER BY fiable DESC, n_of_reference DESC, produit, machine) AS k FROM rm) WHERE k = 1
+) b ON b.question_id = r.question_id
+WHERE r.intent = 'RECOMMEND_CADENCE'""",
+        _RECS + "," + _QUESTIONS + ",\nrm AS (" + _matches("recs3", _REC_COLS) + "\n)"),
+    "performance_lookup": with_base(
+        f"""SELECT r.question_id, st.status, r.produit, r.machine,
+  CASE WHEN st.status = 'OK' THEN b.wp END AS answer_produit, CASE WHEN st.status = 'OK' THEN b.wm END AS answer_machine,
+  CASE WHEN st.status = 'OK' THEN b.wn END AS n_of, CASE WHEN st.status = 'OK' THEN {r4("b.wt")} END AS trs_moyen,
+  CASE WHEN st.status = 'OK' THEN {r4("b.wcv")} END AS stabilite_cv,
+  CASE WHEN st.status = 'OK' THEN b.wcodes END AS conclusion_codes,
+  CASE WHEN st.status = 'OK' THEN b.n_couples_analyses END AS n_couples_analyses,
+  CASE WHEN st.status = 'OK' THEN {r4("b.tg")} END AS trs_moyen_global
+FROM res r
+LEFT JOIN (
+  SELECT question_id, count(*) AS n_candidates, count(trs_moy) AS n_couples_analyses,
+    first(produit ORDER BY trs_moy, produit, machine) FILTER (WHERE trs_moy IS NOT NULL) AS wp,
+    first(machine ORDER BY trs_moy, produit, machine) FILTER (WHERE trs_moy IS NOT NULL) AS wm,
+    first(n_of ORDER BY trs_moy, produit, machine) FILTER (WHERE trs_moy IS NOT NULL) AS wn,
+    first(trs_moy ORDER BY trs_moy, produit, machine) FILTER (WHERE trs_moy IS NOT NULL) AS wt,
+    first(stabilite_cv ORDER BY trs_moy, produit, machine) FILTER (WHERE trs_moy IS NOT NULL) AS wcv,
+    first(conclusion_codes ORDER BY trs_moy, produit, machine) FILTER (WHERE trs_moy IS NOT NULL) AS wcodes,
+    {mean("trs_moy")} AS tg
+  FROM pm GROUP BY question_id
+) b ON b.question_id = r.question_id
+CROSS JOIN LATERAL (SELECT CASE WHEN r.produit IS NULL AND r.machine IS NULL THEN 'NO_ENTITY'
+    WHEN coalesce(b.n_candidates, 0) = 0 THEN 'NO_DATA' WHEN b.n_couples_analyses = 0 THEN 'NO_TRS' ELSE 'OK' END AS status) st
+WHERE r.intent = 'WHY_LOW_PERFORMANCE'""",
+        _METRICS + "," + _CONCL + "," + _QUESTIONS + ",\npm AS (" + _matches("concl", _PERF_COLS) + "\n)"),
+    "stability_lookup": with_base(
+        f"""SELECT machine, n_of, {r4("cv")} AS coefficient_variation_pct FROM (
+  SELECT machine, count(*) AS n_of, stddev_samp(cadence_reelle) / {mean("cadence_reelle")} * 100.0e0 AS cv
+  FROM hist WHERE {_NB} AND cadence_reelle IS NOT NULL AND machine IS NOT NULL GROUP BY machine
+  HAVING count(*) >= 3 AND {mean("cadence_reelle")} <> 0 AND stddev_samp(cadence_reelle) IS NOT NULL
+) ORDER BY cv, machine LIMIT 3"""),
+    "trend_lookup": with_base(
+        "SELECT question_id, false AS disponible, 'NO_PRODUCTION_DATE' AS reason FROM qi WHERE intent = 'TRS_TREND'",
+        _QUESTIONS),
+})

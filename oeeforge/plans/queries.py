@@ -22,9 +22,11 @@ from oeeforge.operators import metrics as A
 from oeeforge.operators import outliers as O
 from oeeforge.operators import profile as P
 from oeeforge.operators import quality as Q
+from oeeforge.operators import questions as G
 from oeeforge.operators import recommend as R
 from oeeforge.plans import jobs
 from oeeforge.sources.production_view import production_view
+from oeeforge.sources.questions import questions as question_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -146,6 +148,60 @@ def reliability_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.reliability_counts(_recommendations(spark, sf_dir))
 
 
+def _resolved(spark: SparkSession, sf_dir: str, fuzzy: bool) -> DataFrame:
+    h = jobs.analysis_view(spark, sf_dir)
+    qs = G.classify_intent(question_table(spark, sf_dir, h))
+    return G.resolve_entities(qs, h, fuzzy=fuzzy)
+
+
+def intent_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.intent_counts(question_table(spark, sf_dir, jobs.analysis_view(spark, sf_dir)))
+
+
+def product_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.product_index(jobs.analysis_view(spark, sf_dir))
+
+
+def entity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resolved(spark, sf_dir, fuzzy=False).select(
+        "question_id", "intent", "produit", "produit_via", "machine", "machine_via")
+
+
+def entity_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resolved(spark, sf_dir, fuzzy=True).select(
+        "question_id", "intent", "produit", "produit_via", "machine", "machine_via")
+
+
+def recommendation_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resolved = _resolved(spark, sf_dir, fuzzy=False).filter(F.col("intent") == "RECOMMEND_CADENCE")
+    return round_doubles(G.recommendation_lookup(resolved, _recommendations(spark, sf_dir)))
+
+
+def performance_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resolved = _resolved(spark, sf_dir, fuzzy=False).filter(F.col("intent") == "WHY_LOW_PERFORMANCE")
+    metrics = A.with_conclusions(A.couple_metrics(jobs.analysis_view(spark, sf_dir), DEFAULT.analytics), DEFAULT.analytics)
+    return round_doubles(G.performance_lookup(resolved, metrics))
+
+
+def stability_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_doubles(G.stability_answer(A.machine_stability(jobs.analysis_view(spark, sf_dir), DEFAULT.anomalies)))
+
+
+def trend_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    qs = G.classify_intent(question_table(spark, sf_dir, jobs.analysis_view(spark, sf_dir)))
+    return G.trend_answer(qs.filter(F.col("intent") == "TRS_TREND"))
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = jobs.analysis_view(spark, sf_dir)
+    resolved = jobs.materialize(G.resolve_entities(G.classify_intent(question_table(spark, sf_dir, h)), h, fuzzy=True))
+    metrics = A.with_conclusions(A.couple_metrics(h, DEFAULT.analytics), DEFAULT.analytics)
+    recs = R.with_justification(
+        R.recommendations(h, jobs.outliers_of(h), DEFAULT.recommendation, DEFAULT.analytics.exclude_bloquant),
+        DEFAULT.recommendation)
+    return round_doubles(G.answer_questions(resolved, recs, metrics))
+
+
 def registry() -> dict[str, Query]:
     return {
         "quality_findings": quality_findings,
@@ -170,4 +226,13 @@ def registry() -> dict[str, Query]:
         "outlier_couples": outlier_couples,
         "recommendations": recommendations,
         "reliability_counts": reliability_counts,
+        "intent_counts": intent_counts,
+        "product_index": product_index,
+        "entity_resolution": entity_resolution,
+        "recommendation_lookup": recommendation_lookup,
+        "performance_lookup": performance_lookup,
+        "stability_lookup": stability_lookup,
+        "trend_lookup": trend_lookup,
+        "entity_fuzzy": entity_fuzzy,
+        "answers": answers,
     }
