@@ -513,3 +513,13 @@ WHERE r.intent = 'WHY_LOW_PERFORMANCE'""",
         "SELECT question_id, false AS disponible, 'NO_PRODUCTION_DATE' AS reason FROM qi WHERE intent = 'TRS_TREND'",
         _QUESTIONS),
 })
+
+
+ORACLE.update({
+    "training_set": with_base(
+        f"""SELECT code_of, produit, machine, atelier, {r4("cadence_theorique")} AS cadence_theorique,
+  {r4("CAST(qte_produite AS DOUBLE)")} AS qte_produite, {r4("cadence_reelle")} AS cadence_reelle
+FROM hist WHERE {_NB} AND produit IS NOT NULL AND machine IS NOT NULL AND atelier IS NOT NULL
+  AND cadence_theorique IS NOT NULL AND qte_produite IS NOT NULL AND cadence_reelle IS NOT NULL"""
+    ),
+})

@@ -19,6 +19,7 @@ from oeeforge.functions.columns import round_doubles
 from oeeforge.operators import diagnosis as D
 from oeeforge.operators import load as L
 from oeeforge.operators import metrics as A
+from oeeforge.operators import ml as M
 from oeeforge.operators import outliers as O
 from oeeforge.operators import profile as P
 from oeeforge.operators import quality as Q
@@ -202,6 +203,73 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(G.answer_questions(resolved, recs, metrics))
 
 
+def training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_doubles(M.training_set(jobs.analysis_view(spark, sf_dir)))
+
+
+_MODELS: dict[str, tuple] = {}
+
+
+def _model(spark: SparkSession, sf_dir: str):
+    """Train once per (data, config), save in the checkpoint folder, load lazily (M6/M7)."""
+    import hashlib
+    import os
+
+    from oeeforge.session import scratch_dir
+
+    key = hashlib.sha1(f"{os.path.abspath(sf_dir)}|{DEFAULT.ml}".encode()).hexdigest()[:16]
+    path = scratch_dir(spark, f"models/rf-{key}")
+    if path not in _MODELS:
+        try:
+            model = M.load_model(path)
+        except Exception:  # not trained yet
+            train = M.training_set(jobs.analysis_view(spark, sf_dir))
+            M.check_min_rows(train, DEFAULT.ml)
+            M.save_model(M.fit(train, DEFAULT.ml), path)
+            model = M.load_model(path)
+        _MODELS[path] = (model, M.leaf_tables(spark, path, model))
+    return _MODELS[path]
+
+
+def rf_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = M.training_set(jobs.analysis_view(spark, sf_dir))
+    M.check_min_rows(train, DEFAULT.ml)
+    return M.cross_validate(train, DEFAULT.ml)
+
+
+def rf_predict_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, tables = _model(spark, sf_dir)
+    train = M.training_set(jobs.analysis_view(spark, sf_dir))
+    out = M.predict_with_interval(model, train, tables)
+    return out.select("code_of", "machine", "cadence_reelle", "prediction", "tree_std", "ci_low", "ci_high")
+
+
+def rf_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, tables = _model(spark, sf_dir)
+    train = M.training_set(jobs.analysis_view(spark, sf_dir))
+    labels = M.labels_frame(spark, model, train)
+    top = M.top_contributions(M.attributions(model, train, tables), labels)
+    return top.select("code_of", "machine", "prediction", "rank", "label", "contribution", "direction")
+
+
+def rf_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, tables = _model(spark, sf_dir)
+    train = M.training_set(jobs.analysis_view(spark, sf_dir))
+    labels = M.labels_frame(spark, model, train)
+    return M.global_importance(M.attributions(model, train, tables), labels)
+
+
+def scenario_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M12 over every (produit, machine) couple of the history, with theo left to the defaults."""
+    model, tables = _model(spark, sf_dir)
+    h = jobs.analysis_view(spark, sf_dir)
+    requests = h.select("produit", "machine").where(F.col("produit").isNotNull() & F.col("machine").isNotNull()).distinct()
+    feats = M.scenario_features(requests, h)
+    out = M.predict_with_interval(model, feats, tables)
+    return out.select("produit", "machine", "atelier", "cadence_theorique", "qte_produite", "prediction",
+                      "ci_low", "ci_high")
+
+
 def registry() -> dict[str, Query]:
     return {
         "quality_findings": quality_findings,
@@ -235,4 +303,10 @@ def registry() -> dict[str, Query]:
         "trend_lookup": trend_lookup,
         "entity_fuzzy": entity_fuzzy,
         "answers": answers,
+        "training_set": training_set,
+        "rf_cv": rf_cv,
+        "rf_predict_interval": rf_predict_interval,
+        "rf_attribution": rf_attribution,
+        "rf_importance": rf_importance,
+        "scenario_predict": scenario_predict,
     }
