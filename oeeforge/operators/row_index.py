@@ -17,8 +17,8 @@ recomputed task yields the same ids.
 
 The range bounds come from a sample seeded by the RDD id, so two branches
 planned separately (rows, block counts) would disagree on partition ids. The
-tagged rows are therefore checkpointed once (reliable checkpoint in the
-session's ``spark.checkpoint.dir``), and both branches read that copy.
+tagged rows are therefore written once as a stage table in the session's
+shared scratch folder (``spark.checkpoint.dir``), and both branches read it.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from oeeforge.session import ensure_checkpoint_dir
+from oeeforge.session import materialize
 
 
 def with_file_row_index(
@@ -45,8 +45,7 @@ def with_file_row_index(
         .withColumn("_ri_pid", F.spark_partition_id())
         .withColumn("_ri_mid", F.monotonically_increasing_id())
     )
-    ensure_checkpoint_dir(spark)
-    ranged = ranged.checkpoint(eager=True)
+    ranged = materialize(ranged, "row-index")
     blocks = ranged.groupBy(F.col("_ri_pid").alias("_rb_pid"), F.col(file_col).alias("_rb_file")).agg(
         F.min("_ri_mid").alias("_rb_first"), F.count(F.lit(1)).alias("_rb_n")
     )

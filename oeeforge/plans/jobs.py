@@ -14,7 +14,7 @@ from oeeforge.config import AppConfig, DEFAULT
 from oeeforge.operators import load as L
 from oeeforge.operators import outliers as O
 from oeeforge.operators import quality as Q
-from oeeforge.session import ensure_checkpoint_dir
+from oeeforge.session import materialize as stage_table
 from oeeforge.sources.production_view import production_view
 
 
@@ -28,14 +28,13 @@ def history_from_checked(checked: DataFrame, batch_id: str = "view", stored_keys
     return L.rows_to_insert(L.to_history(checked, batch_id), stored_keys)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the session's ``spark.checkpoint.dir`` (shared on a cluster).
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """A Parquet stage table in the shared scratch folder (``spark.checkpoint.dir``).
 
     Used where several branches read one intermediate (the history, resolved
     questions): it is computed once and survives executor loss.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return stage_table(df, name)
 
 
 def history_view(spark: SparkSession, sf_dir: str, cfg: AppConfig = DEFAULT) -> DataFrame:
@@ -43,7 +42,7 @@ def history_view(spark: SparkSession, sf_dir: str, cfg: AppConfig = DEFAULT) ->
 
     Materialized once, like the written history table analyses read in production.
     """
-    return materialize(history_from_checked(checked_view(spark, sf_dir, cfg)))
+    return materialize(history_from_checked(checked_view(spark, sf_dir, cfg)), "history")
 
 
 def analysis_view(spark: SparkSession, sf_dir: str, cfg: AppConfig = DEFAULT) -> DataFrame:

@@ -195,7 +195,8 @@ def trend_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = jobs.analysis_view(spark, sf_dir)
-    resolved = jobs.materialize(G.resolve_entities(G.classify_intent(question_table(spark, sf_dir, h)), h, fuzzy=True))
+    resolved = jobs.materialize(G.resolve_entities(G.classify_intent(question_table(spark, sf_dir, h)), h, fuzzy=True),
+                                "resolved")
     metrics = A.with_conclusions(A.couple_metrics(h, DEFAULT.analytics), DEFAULT.analytics)
     recs = R.with_justification(
         R.recommendations(h, jobs.outliers_of(h), DEFAULT.recommendation, DEFAULT.analytics.exclude_bloquant),

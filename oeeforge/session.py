@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -59,3 +60,16 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A folder under the checkpoint root, shared by the cluster, for staged tables."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{root}/{name}"
+
+
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` once as a Parquet table in the shared scratch folder and read it back.
+
+    Cuts the lineage (a lost executor re-reads the table instead of recomputing
+    the plan), computes the input exactly once, and later reads get Parquet
+    column pruning and predicate pushdown.
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark, f"staged/{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
