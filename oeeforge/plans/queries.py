@@ -89,7 +89,7 @@ def load_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def import_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checked = jobs.checked_view(spark, sf_dir)
+    checked = jobs.materialize(jobs.checked_view(spark, sf_dir), "checked")
     inserted = jobs.history_from_checked(checked)
     return L.import_audit(checked, inserted)
 
@@ -152,7 +152,8 @@ def reliability_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _resolved(spark: SparkSession, sf_dir: str, fuzzy: bool) -> DataFrame:
     h = jobs.analysis_view(spark, sf_dir)
     qs = G.classify_intent(question_table(spark, sf_dir, h))
-    return G.resolve_entities(qs, h, fuzzy=fuzzy)
+    # several lookups read the resolved questions: stage them once
+    return jobs.materialize(G.resolve_entities(qs, h, fuzzy=fuzzy), "resolved")
 
 
 def intent_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,12 +176,14 @@ def entity_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def recommendation_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     resolved = _resolved(spark, sf_dir, fuzzy=False).filter(F.col("intent") == "RECOMMEND_CADENCE")
-    return round_doubles(G.recommendation_lookup(resolved, _recommendations(spark, sf_dir)))
+    recs = jobs.materialize(_recommendations(spark, sf_dir), "recommendations")  # persisted R table
+    return round_doubles(G.recommendation_lookup(resolved, recs))
 
 
 def performance_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     resolved = _resolved(spark, sf_dir, fuzzy=False).filter(F.col("intent") == "WHY_LOW_PERFORMANCE")
-    metrics = A.with_conclusions(A.couple_metrics(jobs.analysis_view(spark, sf_dir), DEFAULT.analytics), DEFAULT.analytics)
+    metrics = jobs.materialize(A.with_conclusions(
+        A.couple_metrics(jobs.analysis_view(spark, sf_dir), DEFAULT.analytics), DEFAULT.analytics), "metrics")
     return round_doubles(G.performance_lookup(resolved, metrics))
 
 
@@ -197,10 +200,10 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = jobs.analysis_view(spark, sf_dir)
     resolved = jobs.materialize(G.resolve_entities(G.classify_intent(question_table(spark, sf_dir, h)), h, fuzzy=True),
                                 "resolved")
-    metrics = A.with_conclusions(A.couple_metrics(h, DEFAULT.analytics), DEFAULT.analytics)
-    recs = R.with_justification(
+    metrics = jobs.materialize(A.with_conclusions(A.couple_metrics(h, DEFAULT.analytics), DEFAULT.analytics), "metrics")
+    recs = jobs.materialize(R.with_justification(
         R.recommendations(h, jobs.outliers_of(h), DEFAULT.recommendation, DEFAULT.analytics.exclude_bloquant),
-        DEFAULT.recommendation)
+        DEFAULT.recommendation), "recommendations")
     return round_doubles(G.answer_questions(resolved, recs, metrics))
 
 
