@@ -182,6 +182,15 @@ def _sheet_rows(z: zipfile.ZipFile, path: str) -> list[list]:
     return rows
 
 
+def _cell_text(v: object) -> str | None:
+    """Cell value as text: whole numbers without a decimal part (spreadsheets store every number as float)."""
+    if v is None:
+        return None
+    if isinstance(v, float):
+        return str(int(v)) if v.is_integer() else repr(v)
+    return str(v)
+
+
 def workbook_sheets(spark: SparkSession, folder: str) -> DataFrame:
     """(source_file, sheet_name) for every workbook; unreadable files give no row."""
     def parse(it):
@@ -226,8 +235,7 @@ def read_workbooks(spark: SparkSession, folder: str, sheet: str = REQUIRED_SHEET
                     continue
                 header = [str(h) if h is not None else f"Unnamed: {i}" for i, h in enumerate(rows[header_row])]
                 for i, r in enumerate(rows[header_row + 1:]):
-                    cells = {header[j]: (None if v is None else (repr(v) if isinstance(v, float) else str(v)))
-                             for j, v in enumerate(r) if j < len(header)}
+                    cells = {header[j]: _cell_text(v) for j, v in enumerate(r) if j < len(header)}
                     out.append((name, i, cells, None))
             yield pd.DataFrame(out, columns=["source_file", "_row_index", "cells", "_status"])
 
