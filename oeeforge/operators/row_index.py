@@ -37,7 +37,9 @@ def with_file_row_index(
     num_partitions: int | None = None,
 ) -> DataFrame:
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # as many ranges as the input has splits (never fewer than the shuffle setting):
+    # partition sizes follow spark.sql.files.maxPartitionBytes, not a fixed count
+    n = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
     keys = [file_col, *order_cols]
     ranged = (
         df.repartitionByRange(n, *[F.col(k) for k in keys])

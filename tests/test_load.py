@@ -24,6 +24,11 @@ def test_load_replay_and_retry(spark, tmpdir_path):
     assert staged.select(F.regexp_replace(S.SOURCE_FILE, r"[.]parquet$", "").alias(S.SOURCE_FILE), S.ROW_INDEX, "code_of").exceptAll(
         jobs.checked_view(spark, SF001).select(S.SOURCE_FILE, S.ROW_INDEX, "code_of")).count() == 0
 
+    # grand total row of the audit (rollup): source_file NULL, sums of the per-file rows
+    from oeeforge.operators import load as L
+    audit = spark.createDataFrame(a1).drop("imported_at", "batch_id")
+    tot = L.audit_totals(audit).filter(F.col("source_file").isNull()).first()
+    assert tot.n_rows_inserted == n_ins and tot.n_rows_extracted == sum(r.n_rows_extracted for r in a1)
     # replaying the same files under a new batch inserts nothing
     a2 = load_job.load(spark, staged, hist, log, "b2").collect()
     assert sum(r.n_rows_inserted for r in a2) == 0
