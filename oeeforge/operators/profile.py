@@ -27,6 +27,22 @@ def _order() -> Column:
     return F.struct(F.col(S.SOURCE_FILE), F.col(S.ROW_INDEX))
 
 
+def _with_order_key(staged: DataFrame) -> DataFrame:
+    """``_o`` = file rank * 2^32 + row index: the (file, row) order as one BIGINT.
+
+    A fixed-width key lets the first-seen ``min`` run as a hash aggregate
+    (a struct with a string needs a sort aggregate). The file ranks come from
+    the distinct file names: one row per file, broadcast after a size check.
+    """
+    from oeeforge.functions.joins import broadcast_if_small
+
+    files = staged.select(F.col(S.SOURCE_FILE).alias("_f")).distinct()
+    ranks = files.withColumn("_fr", F.dense_rank().over(Window.orderBy("_f")).cast("long"))
+    ranks = broadcast_if_small(ranks, "file-ranks")
+    keyed = staged.join(ranks, F.col(S.SOURCE_FILE).eqNullSafe(F.col("_f")), "left")
+    return keyed.withColumn("_o", F.shiftleft(F.coalesce("_fr", F.lit(0).cast("long")), 32) + F.col(S.ROW_INDEX).cast("long"))
+
+
 def column_profile(staged: DataFrame, columns: list[str] | None = None, cfg: ProfileConfig | None = None,
                    exact: bool = True) -> DataFrame:
     cfg = cfg or ProfileConfig()
@@ -54,7 +70,7 @@ def column_profile(staged: DataFrame, columns: list[str] | None = None, cfg: Pro
     cells = F.array(*[
         F.struct(F.lit(i).alias("pos"), F.col(c).cast("string").alias("value")) for i, c in enumerate(columns)
     ])
-    long = staged.select(_order().alias("_o"), F.inline(cells))
+    long = _with_order_key(staged).select("_o", F.inline(cells))
     totals = long.groupBy("pos").agg(
         F.count(F.lit(1)).alias("n_total"), F.count_if(F.col("value").isNull()).alias("n_missing")
     )

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from oeeforge import schema as S
 from oeeforge.config import QualityConfig
 from oeeforge.functions.columns import non_null_array, severity_of_rank, severity_rank
+from oeeforge.functions.joins import broadcast_if_small
 
 
 def _num_str(c: Column) -> Column:
@@ -166,7 +167,9 @@ def mark_duplicate_keys(staged: DataFrame) -> DataFrame:
 
     Pre-aggregates counts per (file, key) with map-side combine, keeps the
     repeated keys only, and joins them back null-safely (pandas treats NaN
-    keys as equal). A hot key is one row on the small side.
+    keys as equal). A hot key is one row on the small side. The repeated keys
+    are usually few: they are broadcast when a count shows they fit, otherwise
+    the join shuffles (AQE splits a hot key).
     """
     keys = [S.SOURCE_FILE, *S.KEY_COLUMNS]
     dups = (
@@ -176,6 +179,7 @@ def mark_duplicate_keys(staged: DataFrame) -> DataFrame:
         .withColumn("_dk_flag", F.lit(True))
         .drop("_dk_n")
     )
+    dups = broadcast_if_small(dups, "duplicate-keys")
     cond = None
     for k in keys:
         c = F.col(k).eqNullSafe(F.col(f"_dk_{k}"))
