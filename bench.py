@@ -64,20 +64,28 @@ def main() -> None:
 
     timed("column_profile", lambda: run(P.column_profile(staged["v"])))
     timed("formula_audit", lambda: run(P.formula_audit(staged["v"])))
-    timed("couple_metrics", lambda: run(A.with_conclusions(A.couple_metrics(analysis, DEFAULT.analytics))))
+    # metrics and recommendations are persisted once (as the question answering reads them)
+    persisted = {}
+
+    def metrics_table():
+        persisted["metrics"] = materialize(A.with_conclusions(A.couple_metrics(analysis, DEFAULT.analytics)), "metrics")
+
+    timed("couple_metrics", metrics_table)
     timed("machine_stability", lambda: run(A.machine_stability(analysis, DEFAULT.anomalies)))
     outl = O.zscore_outliers(analysis, DEFAULT.anomalies)
     timed("zscore_outliers", lambda: run(outl))
-    timed("recommendations", lambda: run(R.with_justification(R.recommendations(analysis, outl, DEFAULT.recommendation))))
+    def recommendations_table():
+        persisted["recs"] = materialize(
+            R.with_justification(R.recommendations(analysis, outl, DEFAULT.recommendation)), "recommendations")
+
+    timed("recommendations", recommendations_table)
     timed("blocking_diagnosis", lambda: (run(D.blocking_by_rule(hist)), run(D.blocking_by_column(hist)),
                                          run(D.to_fix_list(hist))))
 
     def qa():
         qs = G.classify_intent(question_table(spark, sf_dir, analysis))
         resolved = materialize(G.resolve_entities(qs, analysis, fuzzy=False), "resolved")
-        metrics = A.with_conclusions(A.couple_metrics(analysis, DEFAULT.analytics))
-        recs = R.with_justification(R.recommendations(analysis, outl, DEFAULT.recommendation))
-        run(G.answer_questions(resolved, recs, metrics))
+        run(G.answer_questions(resolved, persisted["recs"], persisted["metrics"]))
 
     timed("question_answering", qa)
     total = round(sum(times.values()), 3)
