@@ -68,3 +68,27 @@ def test_missing_required_column_gives_structural_finding(spark, tmpdir_path):
     files = staged.select(F.col(S.SOURCE_FILE).alias("source_file")).distinct()
     f = Q.structural_findings(X.structural_columns(missing, files)).collect()
     assert len(f) == 1 and f[0].rule == "required_columns_missing" and f[0].row_index is None
+
+
+def test_load_order_does_not_change_key_set(spark, tmpdir_path):
+    import os
+    import shutil
+
+    src = f"{tmpdir_path}/all"
+    names = write_export_files(spark, SF001, src)
+    half = len(names) // 2
+    first, second = f"{tmpdir_path}/first", f"{tmpdir_path}/second"
+    for folder, part in ((first, names[:half]), (second, names[half:])):
+        os.makedirs(folder)
+        for n in part:
+            shutil.copy(f"{src}/{n}.parquet", f"{folder}/{n}.parquet")
+
+    def keys(order):
+        hist, log = f"{tmpdir_path}/h-{order[0][-5:]}", f"{tmpdir_path}/l-{order[0][-5:]}"
+        for i, folder in enumerate(order):
+            staged, _ = X.read_exports(spark, folder, "parquet")
+            load_job.load(spark, staged, hist, log, f"b{i}")
+        return H.read_history(spark, hist).select("code_of", "machine")
+
+    a, b = keys([first, second]), keys([second, first])
+    assert a.count() == b.count() and a.exceptAll(b).count() == 0
