@@ -8,7 +8,7 @@
     python -m oeeforge.cli recommend HISTORY OUT                       recommendations
     python -m oeeforge.cli diagnose  HISTORY OUT                       blocking diagnosis + to-fix CSV
     python -m oeeforge.cli train     HISTORY MODEL OUT                 CV, final fit, importance, examples
-    python -m oeeforge.cli ask       HISTORY QUESTIONS OUT [--model M] answers for a (question_id, text) table
+    python -m oeeforge.cli ask       HISTORY QUESTIONS OUT             answers for a (question_id, text) Parquet table
 
 Every command reads with Spark and writes its report tables with ``sinks``;
 nothing is collected to the driver except the blocking flag of ``quality``.
@@ -39,22 +39,25 @@ from oeeforge.sources import exports as X
 from oeeforge.sources import history as H
 
 
-def staged_exports(spark: SparkSession, folder: str, fmt: str) -> tuple[DataFrame, DataFrame | None]:
-    """Staged rows of an export folder and the Q1 structural findings (or None)."""
+def staged_exports(spark: SparkSession, folder: str, fmt: str) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Staged rows of an export folder, the Q1 structural findings (or None) and reader problems (or None)."""
+    problems = None
     if fmt == "xlsx":
-        staged, missing = X.normalise(X.workbook_frame(X.read_workbooks(spark, folder)))
+        parsed = materialize(X.read_workbooks(spark, folder), "workbooks")
+        problems = parsed.filter(F.col("_status").isNotNull()).select("source_file", F.col("_status").alias("status"))
+        staged, missing = X.normalise(X.workbook_frame(parsed))
         staged = staged.withColumn(S.EXTRACTED_AT, F.current_timestamp())
     else:
         staged, missing = X.read_exports(spark, folder, fmt)
     if not missing:
-        return staged, None
+        return staged, None, problems
     files = staged.select(F.col(S.SOURCE_FILE).alias("source_file")).distinct()
-    return staged, Q.structural_findings(X.structural_columns(missing, files))
+    return staged, Q.structural_findings(X.structural_columns(missing, files)), problems
 
 
 def cmd_load(spark, a) -> int:
-    staged, structural = staged_exports(spark, a.exports, a.format)
-    status = X.file_status(spark, a.exports, staged, "parquet" if a.format == "xlsx" else a.format)
+    staged, structural, problems = staged_exports(spark, a.exports, a.format)
+    status = X.file_status(spark, a.exports, staged, a.format, problems)
     batch = a.batch_id or f"batch-{spark.sparkContext.applicationId}"
     audit = load_job.load(spark, staged, a.history, a.log, batch, DEFAULT, structural)
     audit.orderBy("source_file").show(truncate=False)
@@ -63,8 +66,7 @@ def cmd_load(spark, a) -> int:
 
 
 def cmd_explore(spark, a) -> int:
-    staged, _ = staged_exports(spark, a.exports, a.format)
-    staged = materialize(staged, "explore")
+    staged = materialize(staged_exports(spark, a.exports, a.format)[0], "explore")
     sinks.write_json(P.column_profile(staged), f"{a.out}/profile")
     sinks.write_json(P.formula_audit(staged), f"{a.out}/formula_audit")
     sinks.write_json(P.formula_examples(staged), f"{a.out}/formula_examples")
@@ -74,7 +76,7 @@ def cmd_explore(spark, a) -> int:
 
 
 def cmd_quality(spark, a) -> int:
-    staged, structural = staged_exports(spark, a.exports, a.format)
+    staged, structural, _ = staged_exports(spark, a.exports, a.format)
     checked = materialize(Q.check_rows(staged, DEFAULT.quality), "checked")
     findings = Q.findings_table(checked)
     if structural is not None:

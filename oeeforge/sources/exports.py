@@ -36,7 +36,7 @@ from oeeforge import schema as S
 from oeeforge.functions.columns import nan_to_null
 from oeeforge.operators.row_index import with_file_row_index
 
-FORMATS = {"parquet": (".parquet",), "csv": (".csv",), "json": (".json", ".jsonl")}
+FORMATS = {"parquet": (".parquet",), "csv": (".csv",), "json": (".json", ".jsonl"), "xlsx": (".xlsx", ".xlsm")}
 WORKBOOK_EXTENSIONS = (".xlsx", ".xlsm")
 REQUIRED_SHEET = "Détails Cadences"  # fixed value: the sheet the exports carry
 
@@ -95,8 +95,13 @@ def read_exports(spark: SparkSession, folder: str, fmt: str = "parquet", extract
     return staged, missing
 
 
-def file_status(spark: SparkSession, folder: str, staged: DataFrame | None, fmt: str = "parquet") -> DataFrame:
-    """(source_file, status, reason, n_rows) for every file of the folder, sorted by name."""
+def file_status(spark: SparkSession, folder: str, staged: DataFrame | None, fmt: str = "parquet",
+                problems: DataFrame | None = None) -> DataFrame:
+    """(source_file, status, reason, n_rows) for every file of the folder, sorted by name.
+
+    ``problems`` (source_file, status) overrides the derived status, e.g. the
+    SHEET_NOT_FOUND / CORRUPTED / EMPTY rows ``read_workbooks`` reports.
+    """
     schema = "source_file string, status string, reason string, n_rows long"
     if not os.path.isdir(folder.replace("file:", "")) and "://" not in folder:
         return spark.createDataFrame([(folder, "FILE_NOT_FOUND", "folder does not exist", 0)], schema)
@@ -108,8 +113,13 @@ def file_status(spark: SparkSession, folder: str, staged: DataFrame | None, fmt:
     counts = (staged.groupBy(F.col(S.SOURCE_FILE).alias("source_file")).agg(F.count(F.lit(1)).alias("n_rows"))
               if staged is not None else spark.createDataFrame([], "source_file string, n_rows long"))
     j = files.join(counts, "source_file", "left")
+    if problems is not None:
+        j = j.join(problems.select("source_file", F.col("status").alias("_reported")), "source_file", "left")
+    else:
+        j = j.withColumn("_reported", F.lit(None).cast("string"))
     status = (
         F.when(~ok_ext, F.lit("UNSUPPORTED"))
+        .when(F.col("_reported").isNotNull(), F.col("_reported"))
         .when(F.col("length") == 0, F.lit("EMPTY"))
         .when(F.col("n_rows").isNull() & (F.col("length") > 0), F.lit("CORRUPTED"))
         .when(F.col("n_rows") == 0, F.lit("EMPTY"))
@@ -119,6 +129,7 @@ def file_status(spark: SparkSession, folder: str, staged: DataFrame | None, fmt:
         F.when(status == "UNSUPPORTED", F.concat(F.lit("extension not in "), F.lit(", ".join(FORMATS[fmt]))))
         .when(status == "CORRUPTED", F.lit("unreadable or no rows could be read"))
         .when(status == "EMPTY", F.lit("no data rows"))
+        .when(status == "SHEET_NOT_FOUND", F.lit(f"sheet '{REQUIRED_SHEET}' not in the workbook"))
     )
     return j.select("source_file", status.alias("status"), reason.alias("reason"),
                     F.coalesce(F.col("n_rows"), F.lit(0).cast("long")).alias("n_rows")).orderBy("source_file")

@@ -72,3 +72,7 @@ def test_workbooks_read_like_the_view(spark, tmpdir_path):
     want = view.filter(F.col(S.SOURCE_FILE) == first).select(*S.DATA_COLUMNS, S.ROW_INDEX)
     assert got.count() == len(pdf)
     assert got.exceptAll(want).count() == 0
+    status = {r.source_file: r.status for r in X.file_status(
+        spark, folder, staged, "xlsx", parsed.filter(F.col("_status").isNotNull())
+        .select("source_file", F.col("_status").alias("status"))).collect()}
+    assert status == {f"{first}.xlsx": "OK", "other.xlsx": "SHEET_NOT_FOUND", "broken.xlsx": "CORRUPTED"}
