@@ -49,6 +49,8 @@ def staged_exports(spark: SparkSession, folder: str, fmt: str) -> tuple[DataFram
         staged = staged.withColumn(S.EXTRACTED_AT, F.current_timestamp())
     else:
         staged, missing = X.read_exports(spark, folder, fmt)
+        if fmt in ("parquet", "csv"):  # each file's own header: Q1 per file
+            return staged, Q.structural_findings(X.file_columns(spark, folder, fmt)), problems
     if not missing:
         return staged, None, problems
     files = staged.select(F.col(S.SOURCE_FILE).alias("source_file")).distinct()

@@ -135,6 +135,38 @@ def file_status(spark: SparkSession, folder: str, staged: DataFrame | None, fmt:
                     F.coalesce(F.col("n_rows"), F.lit(0).cast("long")).alias("n_rows")).orderBy("source_file")
 
 
+def file_columns(spark: SparkSession, folder: str, fmt: str = "parquet") -> DataFrame:
+    """Q1 input per file: (source_file, columns) read from each file's own header.
+
+    A file-parallel job: ``binaryFile`` hands each file to a task that reads
+    the Parquet footer (pyarrow) or the CSV header line; files that cannot be
+    read give no row (``file_status`` reports them).
+    """
+    import csv
+
+    def parse(it):
+        import pyarrow.parquet as pq
+
+        for pdf in it:
+            out = []
+            for path, content in zip(pdf["path"], pdf["content"]):
+                name = os.path.basename(path)
+                try:
+                    if fmt == "parquet":
+                        cols = pq.read_schema(io.BytesIO(content)).names
+                    else:
+                        first = io.StringIO(bytes(content).decode("utf-8-sig")).readline()
+                        cols = next(csv.reader([first]))
+                except Exception:  # noqa: BLE001
+                    continue
+                out.append((name, [c for c in cols if not c.startswith("Unnamed:")]))
+            yield pd.DataFrame(out, columns=["source_file", "columns"])
+
+    glob = "*" + FORMATS[fmt][0]
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "false").load(folder)
+    return files.select("path", "content").mapInPandas(parse, "source_file string, columns array<string>")
+
+
 def structural_columns(missing: list[str], files: DataFrame) -> DataFrame:
     """Input of Q1: (source_file, columns present) for every file read."""
     present = [label for label, _, _ in S.EXPORT_COLUMNS if label not in missing]

@@ -92,3 +92,24 @@ def test_load_order_does_not_change_key_set(spark, tmpdir_path):
 
     a, b = keys([first, second]), keys([second, first])
     assert a.count() == b.count() and a.exceptAll(b).count() == 0
+
+
+def test_missing_column_is_reported_per_file(spark, tmpdir_path):
+    import os
+
+    import pandas as pd
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from oeeforge.operators import quality as Q
+
+    folder = f"{tmpdir_path}/mixed"
+    os.makedirs(folder)
+    full = {label: pd.Series([None], dtype="object" if t.simpleString() == "string" else "float64")
+            for label, _, t in S.EXPORT_COLUMNS}
+    full["Code OF"], full["Machine"] = pd.Series(["a"]), pd.Series(["m"])
+    pq.write_table(pa.Table.from_pandas(pd.DataFrame(full)), f"{folder}/complete.parquet")
+    partial = {k: v for k, v in full.items() if k != "TRS (%)"}
+    pq.write_table(pa.Table.from_pandas(pd.DataFrame(partial)), f"{folder}/partial.parquet")
+    f = Q.structural_findings(X.file_columns(spark, folder, "parquet")).collect()
+    assert [(r.source_file, r.column) for r in f] == [("partial.parquet", "TRS (%)")]
