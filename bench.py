@@ -16,7 +16,6 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import functions as F  # noqa: E402
 
 from oeeforge.config import DEFAULT  # noqa: E402
 from oeeforge.operators import diagnosis as D  # noqa: E402

@@ -24,8 +24,6 @@ def tmpdir_path():
 
 def rows_frame(spark, rows, **extra):
     """Staged rows from dicts (history names); missing columns are NULL."""
-    from pyspark.sql import functions as F
-
     from oeeforge import schema as S
 
     base = {name: None for name in S.DATA_COLUMNS}
