@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from oeeforge.llm import (
+    line_spread,
+    piece_codec,
     token_file,
 )
 
 _MODULES = {
+    "op7_piece_codec": piece_codec,
     "op9_token_file": token_file,
+    "op10_line_spread": line_spread,
 }
 
 
