@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from oeeforge.llm import (
     line_spread,
+    multiset_hash,
     piece_codec,
     token_file,
 )
 
 _MODULES = {
+    "op3_multiset_hash": multiset_hash,
     "op7_piece_codec": piece_codec,
     "op9_token_file": token_file,
     "op10_line_spread": line_spread,
