@@ -9,11 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from oeeforge.llm import (
     line_spread,
     multiset_hash,
+    page_template,
+    pii_bootstrap,
     piece_codec,
     token_file,
 )
 
 _MODULES = {
+    "op1_pii_bootstrap": pii_bootstrap,
+    "op2_page_template": page_template,
     "op3_multiset_hash": multiset_hash,
     "op7_piece_codec": piece_codec,
     "op9_token_file": token_file,
