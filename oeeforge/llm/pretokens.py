@@ -10,18 +10,25 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import cache
 
 import numpy as np
 
-#: Chunks held by one worker; beyond that the memory starts anew (the ids do not depend on it).
-MEMORY = 600_000
-LONGEST = 80
+from oeeforge.llm.memory import Memory
 
-_RUNS = re.compile(r"[ \n]{2}")
 _CHUNKS = re.compile(r"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
-#: White space that this module and the library could see differently.
-_OTHER_SPACE = re.compile("[^\\S \\t\\r\\n]|᠎")
+#: White space, but for space, tab and line ends, that this module and the library could see differently.
+_OTHER_SPACE = tuple("\x0b\x0c\x1c\x1d\x1e\x1f"), tuple(map(chr, (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
+def _contains(text: str, strings: tuple[str, ...]) -> bool:
+    return any(s in text for s in strings)
+
+
+#: Byte-level BPE writes each byte as one visible character: itself where it is visible, else the next from U+0100.
+_VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_CHARS = {b: chr(0x100 + k) for k, b in enumerate(sorted(set(range(256)).difference(_VISIBLE)))}
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -41,50 +48,98 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.spaced: dict[str, bytes] = {}  # word -> ids of the word after one space, or after its own line feed
-        self.plain: dict[str, bytes] = {}
+        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.model = self.tokenizer.model
+        if hasattr(self.model, "_resize_cache"):  # words are remembered here
+            self.model._resize_cache(0)
+        self.end = {c: self.whole([c])[0] for c in ".,\n"}
+        self.spaced = Memory(self._after_space)  # a word after one space, or with the line feed before it
+        self.plain = Memory(self.whole)  # a chunk as it stands
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array(self.dtype.char, ids).tobytes()
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [self._bytes(e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _after_space(self, words: list[str]) -> list[bytes]:
+        """Words of letters alone are one pre-token each: the library's BPE model takes them as they are."""
+        out: list[bytes | None] = []
+        known: dict[str, bytes] = {}
+        tokenize, kind, space, line = self.model.tokenize, self.dtype.char, _BYTE_CHARS[32], self.end["\n"]
+
+        def letters(word: str) -> bytes:
+            mapped = word if word[0] == space or word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARS)
+            return array(kind, [t.id for t in tokenize(mapped)]).tobytes()
+
+        for word in words:
+            if word.isalpha():
+                ids = known[word] = letters(space + word) if word.isascii() else letters(" " + word)
+                out.append(ids)
+                continue
+            body, end = (word[:-1], self.end[word[-1]]) if word[-1:] in (".", ",") else (word, b"")
+            if body.isalpha():
+                ids = known.get(body) or self.spaced.get(body) or self.spaced.older.get(body)
+                if ids is None:
+                    ids = known[body] = letters(space + body) if body.isascii() else letters(" " + body)
+                out.append(ids + end)
+            elif body[:1] == "\n" and body[1:].isalpha():
+                out.append(line + letters(body[1:]) + end)
+            else:
+                out.append(None)
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(rest, self.whole([words[i] if words[i][:1] == "\n" else " " + words[i] for i in rest])):
+            out[i] = ids
+        return out
+
+    def way(self, text: str) -> str:
+        """How a text may be cut: not at all (whole), before runs of white space (plain), or at its single spaces and lines (spaced)."""
+        if _contains(text, _OTHER_SPACE[0]) or (not text.isascii() and _contains(text, _OTHER_SPACE[1])) or _contains(text, self.special):
+            return "whole"
+        return "plain" if _contains(text, ("  ", "\n\n", " \n", "\n ", "\t", "\r")) else "spaced"
 
-    def _learn(self, memory: dict[str, bytes], words: set[str], prefix: str) -> None:
-        known = list(words)
-        chunks = [w if w[:1] == "\n" else prefix + w for w in known] if prefix else known
-        memory.update(zip(known, self.whole(chunks)))
+    def _dealt(self, texts: list[str]) -> dict[str, list[int]]:
+        ways: dict[str, list[int]] = {"whole": [], "plain": [], "spaced": []}
+        for i, text in enumerate(texts):
+            if text:
+                ways[self.way(text)].append(i)
+        return ways
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as the library gives them for the whole text."""
-        parts: list[tuple[dict[str, bytes], list[str]] | None] = []
-        for text in texts:
-            if _OTHER_SPACE.search(text) or (self.special is not None and "<|" in text and self.special.search(text)):
-                parts.append(None)
-            elif "\t" in text or "\r" in text or _RUNS.search(text):
-                parts.append((self.plain, _CHUNKS.findall(text)))
-            else:
-                parts.append((self.spaced, text.replace("\n", " \n").split(" ")))
-        for memory, prefix in ((self.spaced, " "), (self.plain, "")):
-            if len(memory) > MEMORY:
-                memory.clear()
-            new: set[str] = set()
-            for part in parts:
-                if part is not None and part[0] is memory:
-                    new.update(part[1][1:] if prefix else part[1])
-            if new := {w for w in new if w not in memory}:
-                self._learn(memory, new, prefix)
-        out = []
-        for text, part in zip(texts, parts):
-            if part is None:
-                out.append(self.whole([text])[0])
-            elif part[0] is self.plain:
-                out.append(b"".join(map(self.plain.__getitem__, part[1])))
-            else:
-                first = part[1][0]
-                out.append((self.whole([first])[0] if first else b"") + b"".join(map(self.spaced.__getitem__, part[1][1:])))
-        for memory in (self.spaced, self.plain):
-            for word in [w for w in memory if len(w) > LONGEST]:
-                del memory[word]
+        out: list[bytes] = [b""] * len(texts)
+        ways = self._dealt(texts)
+        for i, ids in zip(ways["whole"], self.whole([texts[i] for i in ways["whole"]])):
+            out[i] = ids
+        for i, ids in zip(ways["plain"], self.plain.joined([_CHUNKS.findall(texts[i]) for i in ways["plain"]])):
+            out[i] = ids
+        words = [texts[i].replace("\n", " \n").split(" ") for i in ways["spaced"]]
+        first = self.plain.joined([x[:1] if x[0] else [] for x in words])
+        for i, begin, rest in zip(ways["spaced"], first, self.spaced.joined([x[1:] for x in words])):
+            out[i] = begin + rest
+        return out
+
+    def chunks(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """Lengths and numbers of ids of the chunks of each text; None where a text cannot be cut."""
+        none = np.zeros(0, np.int64)
+        out: list[tuple[np.ndarray, np.ndarray] | None] = [(none, none)] * len(texts)
+        ways, width = self._dealt(texts), self.dtype.itemsize
+
+        def lengths(parts: list) -> np.ndarray:
+            return np.fromiter(map(len, parts), np.int64, len(parts))
+
+        for i in ways["whole"]:
+            out[i] = None
+        cut = [_CHUNKS.findall(texts[i]) for i in ways["plain"]]
+        for i, parts, ids in zip(ways["plain"], cut, self.plain.each(cut)):
+            out[i] = lengths(parts), lengths(ids) // width
+        words = [texts[i].replace("\n", " \n").split(" ") for i in ways["spaced"]]
+        first = self.plain.joined([x[:1] if x[0] else [] for x in words])
+        for i, parts, begin, ids in zip(ways["spaced"], words, first, self.spaced.each([x[1:] for x in words])):
+            size = lengths(parts) + np.fromiter((w[:1] != "\n" for w in parts), bool, len(parts))
+            size[0] -= 1
+            count = np.concatenate(([len(begin)], lengths(ids))) // width
+            out[i] = (size, count) if parts[0] else (size[1:], count[1:])
         return out
 
 
