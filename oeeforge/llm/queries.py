@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from oeeforge.llm import (
+    bm25_decontaminate,
+    cotrain_quality,
+    edit_counts,
     line_spread,
     multiset_hash,
     page_template,
@@ -19,7 +22,10 @@ _MODULES = {
     "op1_pii_bootstrap": pii_bootstrap,
     "op2_page_template": page_template,
     "op3_multiset_hash": multiset_hash,
+    "op4_bm25_decontaminate": bm25_decontaminate,
+    "op5_cotrain_quality": cotrain_quality,
     "op7_piece_codec": piece_codec,
+    "op8_edit_counts": edit_counts,
     "op9_token_file": token_file,
     "op10_line_spread": line_spread,
 }
