@@ -12,6 +12,7 @@ from oeeforge.llm import (
     edit_counts,
     line_spread,
     multiset_hash,
+    overlap_join,
     page_template,
     pii_bootstrap,
     piece_codec,
@@ -24,6 +25,7 @@ _MODULES = {
     "op3_multiset_hash": multiset_hash,
     "op4_bm25_decontaminate": bm25_decontaminate,
     "op5_cotrain_quality": cotrain_quality,
+    "op6_overlap_join": overlap_join,
     "op7_piece_codec": piece_codec,
     "op8_edit_counts": edit_counts,
     "op9_token_file": token_file,
