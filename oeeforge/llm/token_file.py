@@ -23,7 +23,6 @@ from __future__ import annotations
 import io
 import struct
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -150,7 +149,7 @@ def _encode(cuts: list[int], path: str | None, end_id: int):
         end = np.array([end_id], coder.dtype).tobytes()
         edges = np.array(cuts, np.int64)
         for batch in batches:
-            for part in common.pieces(batch, "text", 4 << 20):
+            for part in common.pieces(batch, "text", 1 << 20):
                 keys = part.column("doc_id")
                 dealt = np.searchsorted(edges, np.asarray(keys.fill_null(0)), side="left").astype(np.int32)
                 dealt[np.asarray(keys.is_null())] = 0
@@ -258,13 +257,6 @@ def lookup(manifest_rows: list, key: int | None) -> list[np.ndarray]:
     return found
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column("ids").to_pylist()
-        yield pa.record_batch([batch.column("doc_id"), batch.column("start"), pa.array([len(x) // 4 for x in ids], pa.int64()),
-                               pa.array([zlib.crc32(x) for x in ids], pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = write(common.table(spark, sf_dir, "documents"))
-    return read(manifest).mapInArrow(_digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    ids = read(write(common.table(spark, sf_dir, "documents")))
+    return ids.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
