@@ -23,7 +23,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oeeforge.llm import common
+from oeeforge.llm.memory import Memory
 
 #: The model format's word mark.
 MARK = "▁"
-#: Words held by one worker; beyond that the memory starts anew (the ids do not depend on it).
-MEMORY = 600_000
-LONGEST = 80
+#: Words in a generation of a worker's memory, and pairs of pieces whose validity it knows (the ids do not depend on them).
+WORDS = 250_000
+PAIRS = 1_000_000
 
 _RUNS = re.compile(r"[ \n]{2}")
 
@@ -75,7 +75,7 @@ class Codec:
         apart = "\n" if self.lines_apart else ""
         self.words = re.compile(f"{MARK}*[^{MARK}{apart}]+|{MARK}+" + (f"|{apart}" if apart else ""))
         self.follows: dict[tuple[int, int], bool] = {}
-        self.memory: dict[str | tuple[str], bytes] = {}  # a word without its mark, or a marked word in a tuple
+        self.marked, self.unmarked = Memory(self._learn, WORDS), Memory(self._learn_unmarked, WORDS)
         # every beginning of a piece; with its id where it is a whole piece that the merges reach
         self.begins: dict[str, int] = {p[:k]: -1 for p in self.ids for k in range(1, len(p))}
         self.begins.update((p, i if self.merged(p) == [p] else -1) for p, i in self.ids.items())
@@ -143,31 +143,26 @@ class Codec:
             out[word] = np.array(found[::-1], self.dtype).tobytes()
         return out
 
-    def _marked(self, word: str) -> str:
-        return word if word[:1] == "\n" else MARK + word
+    def _learn(self, marked: list[str]) -> list[bytes]:
+        if len(self.follows) > PAIRS:
+            self.follows.clear()
+        ids = self.encode_words(list(set(marked)))
+        return [ids[w] for w in marked]
+
+    def _learn_unmarked(self, words: list[str]) -> list[bytes]:
+        return self._learn([w if w[:1] == "\n" else MARK + w for w in words])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
-        if len(self.memory) > MEMORY:
-            self.memory.clear()
-        if len(self.follows) > 4 * MEMORY:
-            self.follows.clear()
-        parts = []
-        for text in texts:
-            if not text:
-                parts.append([])
-            elif self.lines_apart and text[0] != " " and MARK not in text and not _RUNS.search(text):  # the cuts are the single spaces and line feeds
-                parts.append(text.replace("\n", " \n").split(" "))
-            else:
-                parts.append([(w,) for w in self.words.findall(MARK + text.replace(" ", MARK))])
-        new = set(chain.from_iterable(parts)).difference(self.memory)
-        marked = {w: w[0] if isinstance(w, tuple) else self._marked(w) for w in new}
-        ids = self.encode_words(list(set(marked.values())))
-        self.memory.update((w, ids[m]) for w, m in marked.items())
-        out = [b"".join(map(self.memory.__getitem__, part)) for part in parts]
-        for word, m in marked.items():
-            if len(m) > LONGEST:
-                del self.memory[word]
+        out = [b""] * len(texts)
+        # where the cuts are the single spaces and line feeds, the marks need not be written
+        simple = [i for i, t in enumerate(texts) if t and self.lines_apart and t[0] != " " and MARK not in t and not _RUNS.search(t)]
+        for i, ids in zip(simple, self.unmarked.joined([texts[i].replace("\n", " \n").split(" ") for i in simple])):
+            out[i] = ids
+        other = sorted(set(range(len(texts))).difference(simple))
+        marked = [self.words.findall(MARK + texts[i].replace(" ", MARK)) if texts[i] else [] for i in other]
+        for i, ids in zip(other, self.marked.joined(marked)):
+            out[i] = ids
         return out
 
     def decode(self, ids: np.ndarray) -> str:
@@ -184,7 +179,7 @@ def _encode(path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path or model_file())
         for batch in batches:
-            for part in common.pieces(batch, "text", 4 << 20):
+            for part in common.pieces(batch, "text", 1 << 20):
                 texts = part.column("text").to_pylist()
                 ids = [np.frombuffer(x, own.dtype) for x in own.encode(texts)]
                 yield pa.record_batch(
@@ -211,9 +206,19 @@ def _decode(path: str | None):
     return run
 
 
+_DECODED = "doc_id long, text_crc32 long, n_pieces long, ids binary, text string"
+
+
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     """The rows of ``encode`` with their text again."""
-    return encoded.mapInArrow(_decode(model), "doc_id long, text_crc32 long, n_pieces long, ids binary, text string")
+    return encoded.mapInArrow(_decode(model), _DECODED)
+
+
+def round_trip(docs: DataFrame, model: str | None = None) -> DataFrame:
+    """``decode(encode(docs))`` in one pass, by one worker per task."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.whole_text().alias("text"))
+    encoder, decoder = _encode(model), _decode(model)
+    return docs.mapInArrow(lambda batches: decoder(encoder(batches)), _DECODED)
 
 
 def digest(decoded: DataFrame) -> DataFrame:
@@ -224,4 +229,4 @@ def digest(decoded: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(decode(encode(common.table(spark, sf_dir, "documents"))))
+    return digest(round_trip(common.table(spark, sf_dir, "documents")))
