@@ -35,11 +35,12 @@ from oeeforge.operators import questions as G
 from oeeforge.operators import recommend as R
 from oeeforge.plans import load_job
 from oeeforge.session import get_spark, materialize
+from oeeforge.functions.files import path_exists
 from oeeforge.sources import exports as X
 from oeeforge.sources import history as H
 
 
-def staged_exports(spark: SparkSession, folder: str, fmt: str) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+def staged_exports(spark: SparkSession, folder: str, fmt: str, probed: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """Staged rows of an export folder, the Q1 structural findings (or None) and reader problems (or None)."""
     problems = None
     if fmt == "xlsx":
@@ -48,9 +49,10 @@ def staged_exports(spark: SparkSession, folder: str, fmt: str) -> tuple[DataFram
         staged, missing = X.normalise(X.workbook_frame(parsed))
         staged = staged.withColumn(S.EXTRACTED_AT, F.current_timestamp())
     else:
-        staged, missing = X.read_exports(spark, folder, fmt)
-        if fmt in ("parquet", "csv"):  # each file's own header: Q1 per file
-            return staged, Q.structural_findings(X.file_columns(spark, folder, fmt)), problems
+        probed = X.probe_files(spark, folder, fmt) if probed is None else probed
+        staged, _ = X.read_exports(spark, folder, fmt, probed=probed)
+        # each file's own header: Q1 per file
+        return staged, Q.structural_findings(X.file_columns(spark, folder, fmt, probed)), problems
     if not missing:
         return staged, None, problems
     files = staged.select(F.col(S.SOURCE_FILE).alias("source_file")).distinct()
@@ -58,8 +60,12 @@ def staged_exports(spark: SparkSession, folder: str, fmt: str) -> tuple[DataFram
 
 
 def cmd_load(spark, a) -> int:
-    staged, structural, problems = staged_exports(spark, a.exports, a.format)
-    status = X.file_status(spark, a.exports, staged, a.format, problems)
+    probed = None if a.format == "xlsx" else X.probe_files(spark, a.exports, a.format)
+    if not path_exists(spark, a.exports):
+        X.file_status(spark, a.exports, fmt="parquet").show(truncate=False)
+        return 1
+    staged, structural, problems = staged_exports(spark, a.exports, a.format, probed)
+    status = X.file_status(spark, a.exports, staged, a.format, problems, probed)
     batch = a.batch_id or f"batch-{spark.sparkContext.applicationId}"
     audit = load_job.load(spark, staged, a.history, a.log, batch, DEFAULT, structural)
     audit.orderBy("source_file").show(truncate=False)

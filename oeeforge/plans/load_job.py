@@ -34,13 +34,14 @@ def load(spark: SparkSession, staged: DataFrame, history_path: str, log_path: st
     checked = materialize(Q.check_rows(staged, cfg.quality))
     stored = H.stored_keys(H.read_history(spark, history_path), exclude_batch=batch_id) \
         if H.exists(spark, history_path) else None
-    rows = L.rows_to_insert(L.to_history(checked, batch_id), stored)
-    sinks.write_partition(rows.select(*S.HISTORY_COLUMNS), history_path)
+    # staged: the write replaces files that the anti-join reads, and an empty result clears its partition
+    rows = materialize(L.rows_to_insert(L.to_history(checked, batch_id), stored).select(*S.HISTORY_COLUMNS), "new-rows")
+    sinks.write_partition(rows, history_path, value=batch_id)
     written = H.read_history(spark, history_path).filter(F.col("batch_id") == F.lit(batch_id))
     audit = L.import_audit(checked, written, structural).select(
         "source_file", F.current_timestamp().alias("imported_at"), "n_rows_extracted", "n_rows_inserted",
         "n_rows_skipped_duplicate", "n_rows_rejected_null_key", "n_bloquant", "n_avertissement", "n_info",
         F.lit(batch_id).alias("batch_id"),
     )
-    sinks.write_partition(audit, log_path)
+    sinks.write_partition(materialize(audit, "audit"), log_path, value=batch_id)
     return spark.read.schema(S.IMPORT_LOG_SCHEMA).parquet(log_path).filter(F.col("batch_id") == F.lit(batch_id))

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oeeforge.functions.files import delete_path, path_exists
+
 
 def write_json(df: DataFrame, path: str) -> str:
     """K1-K5: a report table as JSON lines."""
@@ -59,8 +61,18 @@ def write_to_fix_csv(to_fix: DataFrame, path: str) -> str:
     return path
 
 
-def write_partition(df: DataFrame, path: str, partition_col: str = "batch_id") -> str:
-    """K7: append/replace only the partitions present in ``df`` (dynamic overwrite)."""
+def write_partition(df: DataFrame, path: str, partition_col: str = "batch_id", value: str | None = None) -> str:
+    """K7: append/replace only the partitions present in ``df`` (dynamic overwrite).
+
+    ``value``: the one partition that ``df`` is meant to be; an empty ``df`` clears it (a dynamic overwrite alone leaves it).
+    """
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(partition_col).parquet(path))
+    if value is not None:
+        from urllib.parse import quote
+
+        spark = df.sparkSession
+        own = f"{path.rstrip('/')}/{partition_col}={quote(value, safe=' !#$&()+,-.;<>@[]^_`{}|~')}"
+        if path_exists(spark, own) and df.isEmpty():
+            delete_path(spark, own)
     return path

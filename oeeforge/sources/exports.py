@@ -1,9 +1,9 @@
 """Export folders as DataFrames.
 
-* S1/S2 ``read_exports``: every file of a folder (non-recursive) in one scan;
-  Parquet, CSV (header row) or JSON lines, columns named with the export
-  labels. A corrupt file is skipped (``ignoreCorruptFiles``) and reported by
-  ``file_status``, the others continue.
+* S1/S2 ``probe_files``: a file-parallel job reads every file of a folder (non-recursive) once, whole, and reports its
+  status and its own header. A file that cannot be read to its end is CORRUPTED and left out whole; the others continue.
+* S1 ``read_exports``: the readable files, Parquet, CSV (header row) or JSON lines. CSV and JSON files are read in
+  groups of equal headers, so columns go by name whatever their order in a file; all cells are text at first.
 * S3 ``normalise``: drop unnamed columns, rename labels to history names,
   ``try_cast`` to the locked types, NaN -> NULL; missing required columns are
   added as typed NULLs (and reported by the Q1 structural finding).
@@ -11,7 +11,7 @@
   ``_extracted_at`` per read, ``_row_index`` = 0-based row within the file
   (Parquet: the reader's ``_metadata.row_index``, no shuffle; text formats:
   file block start + scan order, then ``with_file_row_index``).
-* S5/S2 ``file_status``: one row per file of the folder: OK, EMPTY,
+* S5/S2 ``file_status``: one row per file of the folder: OK, EMPTY (readable, no data rows),
   UNSUPPORTED (extension), CORRUPTED (unreadable), and FILE_NOT_FOUND for a
   missing folder.
 * S1/S6 workbooks: ``read_workbooks`` / ``workbook_sheets`` read ``.xlsx``
@@ -34,24 +34,105 @@ from pyspark.sql import types as T
 
 from oeeforge import schema as S
 from oeeforge.functions.columns import nan_to_null
+from oeeforge.functions.files import list_files, open_input, path_exists
 from oeeforge.operators.row_index import with_file_row_index
+from oeeforge.session import materialize
 
 FORMATS = {"parquet": (".parquet",), "csv": (".csv",), "json": (".json", ".jsonl"), "xlsx": (".xlsx", ".xlsm")}
 WORKBOOK_EXTENSIONS = (".xlsx", ".xlsm")
 REQUIRED_SHEET = "Détails Cadences"  # fixed value: the sheet the exports carry
 
 
-def _read(spark: SparkSession, folder: str, fmt: str) -> DataFrame:
-    reader = spark.read.option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "false")
-    ext = FORMATS[fmt]
-    glob = "*" + ext[0] if len(ext) == 1 else "*"
-    reader = reader.option("pathGlobFilter", glob)
+PROBE_SCHEMA = "source_file string, path string, status string, n_rows long, columns array<string>"
+
+
+def _probe(fmt: str, path: str, length: int) -> tuple[str, int, list[str]]:
+    """(status, rows, header) of one file, read to its end; an exception means that it cannot be read."""
+    import csv
+    import json
+
+    import pyarrow.parquet as pq
+
+    if length == 0:
+        return "EMPTY", 0, []
+    with open_input(path) as source:
+        if fmt == "parquet":
+            file = pq.ParquetFile(source)
+            rows = sum(batch.num_rows for batch in file.iter_batches(batch_size=8192))
+            return ("OK" if rows else "EMPTY"), rows, file.schema_arrow.names
+        lines = io.TextIOWrapper(source, encoding="utf-8-sig", newline="")
+        if fmt == "csv":
+            reader = csv.reader(lines)
+            columns = next(reader, [])
+            rows = sum(1 for r in reader if r)
+            return ("OK" if rows else "EMPTY"), rows, columns
+        columns: dict[str, None] = {}
+        rows = 0
+        for line in lines:
+            if line.strip():
+                rows += 1
+                columns.update(dict.fromkeys(json.loads(line)))
+        return ("OK" if rows else "EMPTY"), rows, list(columns)
+
+
+def probe_files(spark: SparkSession, folder: str, fmt: str = "parquet") -> DataFrame:
+    """A row per file of the folder, staged once: (source_file, path, status, n_rows, columns of its own header).
+
+    The driver lists the folder; each file is read by a task, as a stream. A missing folder is one FILE_NOT_FOUND row.
+    """
+    if not path_exists(spark, folder):
+        return spark.createDataFrame([(folder, folder, "FILE_NOT_FOUND", 0, [])], PROBE_SCHEMA)
+
+    def probe(it):
+        for pdf in it:
+            out = []
+            for name, path, length in zip(pdf["name"], pdf["path"], pdf["length"]):
+                if not name.lower().endswith(FORMATS[fmt]):
+                    out.append((name, path, "UNSUPPORTED", 0, []))
+                    continue
+                try:
+                    out.append((name, path, *_probe(fmt, path, length)))
+                except Exception:  # noqa: BLE001 - whatever keeps a file from being read is its status
+                    out.append((name, path, "CORRUPTED", 0, []))
+            yield pd.DataFrame(out, columns=["source_file", "path", "status", "n_rows", "columns"])
+
+    files = list_files(spark, folder)
+    listed = spark.createDataFrame(files, "name string, path string, length long")
+    return materialize(listed.repartition(max(1, min(len(files), 10_000))).mapInPandas(probe, PROBE_SCHEMA), "file-probe")
+
+
+def _read(spark: SparkSession, fmt: str, probed: DataFrame) -> DataFrame:
+    """The files that the probe found readable. Their names and headers pass through the driver, as for any file scan."""
+    found = probed.filter("status = 'OK'").select("path", "columns").collect()
     if fmt == "parquet":
-        return reader.option("mergeSchema", "true").parquet(folder)
-    if fmt == "csv":
-        # all text first: types are enforced by S3 with try_cast, like a spreadsheet export
-        return reader.option("header", "true").option("inferSchema", "false").csv(folder)
-    return reader.json(folder)
+        if not found:
+            return _nothing(spark)
+        return spark.read.option("mergeSchema", "true").parquet(*[r.path for r in found])
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for r in found:
+        groups.setdefault(tuple(r.columns), []).append(r.path)
+    out = None
+    for header, paths in sorted(groups.items()):
+        # names that repeat or are empty are no export labels: they are read by place and dropped
+        names = [c if c and header.index(c) == i else f"_c{i}" for i, c in enumerate(header)]
+        text = T.StructType([T.StructField(c, T.StringType()) for c in names])
+        reader = spark.read.schema(text)
+        part = reader.option("header", "true").option("enforceSchema", "true").csv(paths) if fmt == "csv" else reader.json(paths)
+        part = part.select(*[f"`{c}`" for c in names if not re.fullmatch(r"_c\d+", c)], *_lineage(fmt))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out if out is not None else _nothing(spark)
+
+
+def _nothing(spark: SparkSession) -> DataFrame:
+    lineage = f"{S.SOURCE_FILE} string, _ri_parquet long, _blk long, _seq long"
+    return spark.createDataFrame([], ", ".join(f"`{label}` string" for label, _, _ in S.EXPORT_COLUMNS) + ", " + lineage)
+
+
+def _lineage(fmt: str) -> list[Column]:
+    name = F.col("_metadata.file_name").alias(S.SOURCE_FILE)
+    if fmt == "parquet":
+        return [name, F.col("_metadata.row_index").cast("int").alias("_ri_parquet")]
+    return [name, F.col("_metadata.file_block_start").alias("_blk"), F.monotonically_increasing_id().alias("_seq")]
 
 
 def normalise(raw: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -76,95 +157,56 @@ def normalise(raw: DataFrame) -> tuple[DataFrame, list[str]]:
 
 
 def read_exports(spark: SparkSession, folder: str, fmt: str = "parquet", extracted_at: str | None = None,
-                 row_index: bool = True) -> tuple[DataFrame, list[str]]:
-    """Staged export rows (history names + lineage) and the missing labels."""
-    raw = _read(spark, folder, fmt)
-    meta = [F.col("_metadata.file_name").alias(S.SOURCE_FILE)]
-    if fmt == "parquet":
-        meta.append(F.col("_metadata.row_index").cast("int").alias("_ri_parquet"))
-    else:
-        meta += [F.col("_metadata.file_block_start").alias("_blk"), F.monotonically_increasing_id().alias("_seq")]
-    raw = raw.select("*", *meta)
+                 row_index: bool = True, probed: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+    """Staged export rows (history names + lineage) and the missing labels; ``probed``: the folder's probe, if there is one."""
+    probed = probe_files(spark, folder, fmt) if probed is None else probed
+    raw = _read(spark, fmt, probed)
+    if fmt == "parquet" and S.SOURCE_FILE not in raw.columns:
+        raw = raw.select("*", *_lineage(fmt))
     staged, missing = normalise(raw)
     ts = F.to_timestamp(F.lit(extracted_at)) if extracted_at else F.current_timestamp()
     staged = staged.withColumn(S.EXTRACTED_AT, ts)
     if fmt == "parquet":
-        staged = staged.withColumnRenamed("_ri_parquet", S.ROW_INDEX)
+        staged = staged.withColumn("_ri_parquet", F.col("_ri_parquet").cast("int")).withColumnRenamed("_ri_parquet", S.ROW_INDEX).drop("_blk", "_seq")
     elif row_index:
-        staged = with_file_row_index(staged, S.SOURCE_FILE, ["_blk", "_seq"], S.ROW_INDEX).drop("_blk", "_seq")
+        staged = with_file_row_index(staged, S.SOURCE_FILE, ["_blk", "_seq"], S.ROW_INDEX).drop("_blk", "_seq", "_ri_parquet")
     return staged, missing
 
 
-def file_status(spark: SparkSession, folder: str, staged: DataFrame | None, fmt: str = "parquet",
-                problems: DataFrame | None = None) -> DataFrame:
+def file_status(spark: SparkSession, folder: str, staged: DataFrame | None = None, fmt: str = "parquet",
+                problems: DataFrame | None = None, probed: DataFrame | None = None) -> DataFrame:
     """(source_file, status, reason, n_rows) for every file of the folder, sorted by name.
 
-    ``problems`` (source_file, status) overrides the derived status, e.g. the
-    SHEET_NOT_FOUND / CORRUPTED / EMPTY rows ``read_workbooks`` reports.
+    ``probed``: the folder's probe, if there is one. Workbooks have none: their counts come from ``staged``, and
+    ``problems`` (source_file, status) has the SHEET_NOT_FOUND / CORRUPTED / EMPTY rows ``read_workbooks`` reports.
     """
-    schema = "source_file string, status string, reason string, n_rows long"
-    if not os.path.isdir(folder.replace("file:", "")) and "://" not in folder:
-        return spark.createDataFrame([(folder, "FILE_NOT_FOUND", "folder does not exist", 0)], schema)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder).select(
-        F.element_at(F.split("path", "/"), -1).alias("source_file"), "length")
-    ok_ext = F.lit(False)
-    for e in FORMATS[fmt]:
-        ok_ext = ok_ext | F.lower("source_file").endswith(e)
-    counts = (staged.groupBy(F.col(S.SOURCE_FILE).alias("source_file")).agg(F.count(F.lit(1)).alias("n_rows"))
-              if staged is not None else spark.createDataFrame([], "source_file string, n_rows long"))
-    j = files.join(counts, "source_file", "left")
-    if problems is not None:
-        j = j.join(problems.select("source_file", F.col("status").alias("_reported")), "source_file", "left")
-    else:
-        j = j.withColumn("_reported", F.lit(None).cast("string"))
-    status = (
-        F.when(~ok_ext, F.lit("UNSUPPORTED"))
-        .when(F.col("_reported").isNotNull(), F.col("_reported"))
-        .when(F.col("length") == 0, F.lit("EMPTY"))
-        .when(F.col("n_rows").isNull() & (F.col("length") > 0), F.lit("CORRUPTED"))
-        .when(F.col("n_rows") == 0, F.lit("EMPTY"))
-        .otherwise(F.lit("OK"))
-    )
+    if fmt == "xlsx" and path_exists(spark, folder):
+        files = spark.createDataFrame([f[:1] for f in list_files(spark, folder)], "source_file string")
+        counts = staged.groupBy(F.col(S.SOURCE_FILE).alias("source_file")).agg(F.count(F.lit(1)).alias("n_rows"))
+        reported = problems.select("source_file", F.col("status").alias("_reported")).distinct()
+        known = F.lower(F.col("source_file")).rlike("[.](xlsx|xlsm)$")
+        probed = files.join(counts, "source_file", "left").join(reported, "source_file", "left").withColumn(
+            "status", F.when(~known, "UNSUPPORTED").when(F.col("_reported").isNotNull(), F.col("_reported"))
+            .when(F.coalesce("n_rows", F.lit(0)) == 0, "EMPTY").otherwise("OK"))
+    elif probed is None:
+        probed = probe_files(spark, folder, fmt)
+    status = F.col("status")
     reason = (
-        F.when(status == "UNSUPPORTED", F.concat(F.lit("extension not in "), F.lit(", ".join(FORMATS[fmt]))))
-        .when(status == "CORRUPTED", F.lit("unreadable or no rows could be read"))
+        F.when(status == "UNSUPPORTED", F.lit("extension not in " + ", ".join(FORMATS[fmt])))
+        .when(status == "CORRUPTED", F.lit("cannot be read to its end"))
         .when(status == "EMPTY", F.lit("no data rows"))
+        .when(status == "FILE_NOT_FOUND", F.lit("folder does not exist"))
         .when(status == "SHEET_NOT_FOUND", F.lit(f"sheet '{REQUIRED_SHEET}' not in the workbook"))
     )
-    return j.select("source_file", status.alias("status"), reason.alias("reason"),
-                    F.coalesce(F.col("n_rows"), F.lit(0).cast("long")).alias("n_rows")).orderBy("source_file")
+    return probed.select("source_file", "status", reason.alias("reason"),
+                         F.coalesce(F.col("n_rows"), F.lit(0).cast("long")).cast("long").alias("n_rows")).orderBy("source_file")
 
 
-def file_columns(spark: SparkSession, folder: str, fmt: str = "parquet") -> DataFrame:
-    """Q1 input per file: (source_file, columns) read from each file's own header.
-
-    A file-parallel job: ``binaryFile`` hands each file to a task that reads
-    the Parquet footer (pyarrow) or the CSV header line; files that cannot be
-    read give no row (``file_status`` reports them).
-    """
-    import csv
-
-    def parse(it):
-        import pyarrow.parquet as pq
-
-        for pdf in it:
-            out = []
-            for path, content in zip(pdf["path"], pdf["content"]):
-                name = os.path.basename(path)
-                try:
-                    if fmt == "parquet":
-                        cols = pq.read_schema(io.BytesIO(content)).names
-                    else:
-                        first = io.StringIO(bytes(content).decode("utf-8-sig")).readline()
-                        cols = next(csv.reader([first]))
-                except Exception:  # noqa: BLE001
-                    continue
-                out.append((name, [c for c in cols if not c.startswith("Unnamed:")]))
-            yield pd.DataFrame(out, columns=["source_file", "columns"])
-
-    glob = "*" + FORMATS[fmt][0]
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "false").load(folder)
-    return files.select("path", "content").mapInPandas(parse, "source_file string, columns array<string>")
+def file_columns(spark: SparkSession, folder: str, fmt: str = "parquet", probed: DataFrame | None = None) -> DataFrame:
+    """Q1 input per readable file: (source_file, columns), from each file's own header as the probe read it."""
+    probed = probe_files(spark, folder, fmt) if probed is None else probed
+    named = F.filter("columns", lambda c: ~c.startswith("Unnamed:"))
+    return probed.filter(F.col("status").isin("OK", "EMPTY") & (F.size("columns") > 0)).select("source_file", named.alias("columns"))
 
 
 def structural_columns(missing: list[str], files: DataFrame) -> DataFrame:
@@ -216,7 +258,7 @@ def _sheet_rows(z: zipfile.ZipFile, path: str) -> list[list]:
                 val = "".join(x.text or "" for x in c.iter(f"{{{_NS['m']}}}t"))
             elif t == "str":
                 val = v.text if v is not None else None
-            elif v is not None and v.text is not None:
+            elif t != "e" and v is not None and v.text is not None:
                 val = float(v.text)
             else:
                 val = None

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oeeforge import schema as S
+from oeeforge.functions.files import path_exists
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
@@ -22,11 +23,6 @@ def analysis_columns(history: DataFrame) -> DataFrame:
     return history.select(*S.ANALYSIS_COLUMNS)
 
 
-def blocked(history: DataFrame) -> DataFrame:
-    """Rows whose severity is BLOQUANT (a pushed-down Parquet filter)."""
-    return history.filter(F.col("quality_severity") == F.lit(S.SEVERITY_BLOQUANT))
-
-
 def stored_keys(history: DataFrame, exclude_batch: str | None = None) -> DataFrame:
     """The keys already stored (optionally without one batch, for a retried load)."""
     h = history if exclude_batch is None else history.filter(F.col("batch_id") != F.lit(exclude_batch))
@@ -34,8 +30,5 @@ def stored_keys(history: DataFrame, exclude_batch: str | None = None) -> DataFra
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).limit(0).collect()
-        return True
-    except Exception:  # noqa: BLE001 - no table yet
-        return False
+    """Is there a history? Only a missing path means no; a damaged or unreachable one raises when it is read."""
+    return path_exists(spark, path)

@@ -3,8 +3,8 @@
 New export files are picked up by the file source, whole files per
 micro-batch (so the per-file duplicate rule keeps its scope), and each
 micro-batch runs the batch load job inside ``foreachBatch`` with
-``batch_id = 'stream-<query name>-<epoch id>'``. A restarted query resumes
-from its checkpoint; a re-run epoch reuses its batch id and overwrites its own
+``batch_id = 'stream-<query name>-<query id>-<epoch id>'``. The query id is kept in the checkpoint: a restarted query
+resumes with it, and a new checkpoint folder, whose epochs begin at 0 again, has another. A re-run epoch reuses its batch id and overwrites its own
 partition, so the history stays exactly-once. ``trigger(availableNow=True)``
 processes what is there and stops (a scheduled incremental load).
 """
@@ -39,7 +39,8 @@ def start_incremental_load(spark: SparkSession, folder: str, history_path: str,
     def each_batch(batch: DataFrame, epoch_id: int) -> None:
         if batch.isEmpty():
             return
-        load_job.load(batch.sparkSession, batch, history_path, log_path, f"stream-{name}-{epoch_id}", cfg)
+        query_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        load_job.load(batch.sparkSession, batch, history_path, log_path, f"stream-{name}-{query_id}-{epoch_id}", cfg)
 
     writer = (stream_exports(spark, folder, max_files_per_trigger).writeStream
               .queryName(name).option("checkpointLocation", checkpoint).foreachBatch(each_batch))
