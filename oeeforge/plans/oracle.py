@@ -309,6 +309,17 @@ firsts AS (
         + ", ".join(f"{r4(c)} AS {c}" for c in _DATA_COLS[5:])
         + ", quality_severity, source_file, row_index FROM hist"
     ),
+    "load_incremental": with_base(
+        """SELECT * FROM (
+  WITH f1 AS (SELECT code_of, machine, source_file, row_index FROM v
+              WHERE code_of IS NOT NULL AND machine IS NOT NULL AND ascii(right(source_file, 1)) % 2 = 1
+              QUALIFY row_number() OVER (PARTITION BY code_of, machine ORDER BY source_file, row_index) = 1),
+       f2 AS (SELECT code_of, machine, source_file, row_index FROM v WHERE code_of IS NOT NULL AND machine IS NOT NULL
+              QUALIFY row_number() OVER (PARTITION BY code_of, machine ORDER BY source_file, row_index) = 1)
+  SELECT 'b1' AS batch_id, * FROM f1
+  UNION ALL SELECT 'b2' AS batch_id, * FROM f2
+  WHERE NOT EXISTS (SELECT 1 FROM f1 WHERE f1.code_of = f2.code_of AND f1.machine = f2.machine)) t"""
+    ),
     "import_log": with_base(
         """SELECT e.source_file, e.n AS n_rows_extracted, coalesce(i.n, 0) AS n_rows_inserted,
   e.n - coalesce(i.n, 0) - e.nk AS n_rows_skipped_duplicate, e.nk AS n_rows_rejected_null_key,
