@@ -9,7 +9,7 @@ link when 100 * overlap >= 75 * union, so a partner holds at least T = ceil(0.75
    stream. Which lists are long follows from an overall order of the members: those found frequent while reading all data
    come last, the others by hash. (Any one order gives the exact result; this one keeps common passages out of the merge.)
 3. On a list, every node is paired with the list's first node of a size it can link with (a star: as many pairs as nodes).
-   The pairs' long lists are probed by binary search in the sorted sets, and linked nodes are joined to components.
+   Pairs whose short lists leave too few members for T are dropped; of the others the long lists are probed by binary search in the sorted sets, and linked nodes are joined to components.
    Only lists on which nodes of different components remain are read again, now for every pair of different
    components and fitting sizes. Pairs within a component change nothing; so no link between components is lost, and a group
    of near copies costs pairs in proportion to its size.
@@ -23,6 +23,7 @@ by 64-bit hashes. Empty tables give empty results; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,8 @@ REMEMBERED = 1 << 20
 FAN = 512
 SLICE = 1 << 20
 
-_POWERS = np.array([pow(0xD6E8FEB86659FD93, k, 1 << 64) for k in range(1, 4097)], np.uint64)
+_BASE = 0xD6E8FEB86659FD93
+_LETTER = np.array([not (x == 32 or 9 <= x <= 13) for x in range(256)])
 _ODD = np.array([pow(0xA0761D6478BD642F, k, 1 << 64) for k in range(1, WORDS + 1)], np.uint64)
 
 
@@ -53,6 +55,17 @@ def _scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the base and of its inverse modulo 2**64, for n places."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(n, base, np.uint64)
+        steps[0] = 1
+        out.append(np.multiply.accumulate(steps))
+    return out[0], out[1]
+
+
 def sets(texts: list[str]) -> list[np.ndarray]:
     """The sorted distinct member hashes of each text; all words of a slice are hashed at once."""
     out: list[np.ndarray] = []
@@ -70,16 +83,15 @@ def sets(texts: list[str]) -> list[np.ndarray]:
 
 def _slice_sets(data: list[bytes]) -> list[np.ndarray]:
     none = np.zeros(0, np.uint64)
-    raw = np.frombuffer(b" ".join(data), np.uint8)
-    letter = (raw != 32) & ((raw < 9) | (raw > 13))
+    raw = np.frombuffer(b" ".join(data).lower(), np.uint8)  # bytes lower-case A-Z alone
+    letter = _LETTER[raw]
     starts = np.flatnonzero(letter & ~np.concatenate(([False], letter[:-1]))) if len(raw) else np.zeros(0, np.int64)
     if not len(starts):
         return [none] * len(data)
-    low = np.where((raw >= 65) & (raw <= 90), raw + np.uint8(32), raw)
-    word_of = np.cumsum(np.bincount(starts, minlength=len(raw))) - 1
-    place = np.arange(len(raw)) - starts[word_of]
-    terms = np.where(letter, (low.astype(np.uint64) + np.uint64(1)) * _POWERS[place & 4095], np.uint64(0))
-    words = _scramble(np.add.reduceat(terms, starts))
+    # a word's hash sums its bytes times powers of a base by place; the place of its first byte is divided out
+    powers, inverse = _powers(1 << (len(raw) - 1).bit_length())
+    terms = (raw + letter).astype(np.uint64) * letter * powers[: len(raw)]
+    words = _scramble(np.add.reduceat(terms, starts) * inverse[starts])
     begins = np.cumsum([0] + [len(x) + 1 for x in data[:-1]])
     first = np.searchsorted(starts, begins, side="left").tolist() + [len(starts)]
     runs = np.zeros(0, np.uint64)
@@ -113,40 +125,46 @@ def _fits(small, large):
     return 100 * small >= LEAST * large
 
 
-def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in common.pieces(batch, "text", SLICE):
-            own = sets(part.column("text").to_pylist())
-            yield pa.record_batch([part.column("doc_id"), pa.array([node_of(s) for s in own], pa.int64()), pa.array([len(s) for s in own], pa.int64())],
-                                  ["doc_id", "node", "n_shingles"])
-
-
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members that the task has seen often; with more than it can remember, all counts fall until enough are at nothing."""
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per document (text_hash, doc_id, node, n), and after them a row per member that the task has seen often (node: the member)."""
+    names = ["doc_id", "text_hash", "node", "n", "member"]
     seen: set[int] = set()
     keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    fresh: list[np.ndarray] = []
+
+    def merge() -> None:
+        nonlocal keys, counts
+        own, n = np.unique(np.concatenate(fresh), return_counts=True)
+        fresh.clear()
+        keys, place = np.unique(np.concatenate((keys, own)), return_inverse=True)
+        counts = np.bincount(place, weights=np.concatenate((counts, n))).astype(np.int64)
+        while len(keys) > REMEMBERED:  # all counts fall until enough are at nothing
+            counts = counts - max(1, int(counts.min()))
+            keys, counts = keys[counts > 0], counts[counts > 0]
+
     for batch in batches:
         for part in common.pieces(batch, "text", SLICE):
-            fresh = []
-            for s in sets(part.column("text").to_pylist()):
-                if len(s) and (node := node_of(s)) not in seen:
+            own = sets(part.column("text").to_pylist())
+            nodes = [node_of(s) for s in own]
+            for s, node, known in zip(own, nodes, part.column("doc_id").is_valid().to_pylist()):
+                if known and len(s) and node not in seen:
                     seen.add(node)
                     fresh.append(s)
-            if fresh:
-                own, n = np.unique(np.concatenate(fresh), return_counts=True)
-                keys, place = np.unique(np.concatenate((keys, own)), return_inverse=True)
-                counts = np.bincount(place, weights=np.concatenate((counts, n))).astype(np.int64)
-                while len(keys) > REMEMBERED:
-                    counts = counts - max(1, int(counts.min()))
-                    keys, counts = keys[counts > 0], counts[counts > 0]
+            if sum(map(len, fresh)) > REMEMBERED:
+                merge()
+            yield pa.record_batch([part.column("doc_id"), part.column("text_hash"), pa.array(nodes, pa.int64()), pa.array([len(s) for s in own], pa.int64()),
+                                   pa.array(np.zeros(len(own), bool))], names)
+    if fresh:
+        merge()
     often = counts >= SEEN - 1
-    yield pa.record_batch([pa.array(keys[often].view(np.int64)), pa.array(counts[often])], ["member", "n"])
+    many = int(often.sum())
+    yield pa.record_batch([pa.nulls(many, pa.int64()), pa.nulls(many, pa.int64()), pa.array(keys[often].view(np.int64)), pa.array(counts[often]),
+                           pa.array(np.ones(many, bool))], names)
 
 
-def frequent_bits(docs: DataFrame) -> np.ndarray:
+def frequent_bits(members: DataFrame) -> np.ndarray:
     """A fixed number of bits that mark the frequent members (and, by chance, a few more): 512 KB on the driver and in tasks."""
-    found = docs.mapInArrow(_frequent, "member long, n long").groupBy("member").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    return _marked(found, "member")
+    return _marked(members.groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT), "node")
 
 
 def _marked(rows: DataFrame, column: str) -> np.ndarray:
@@ -256,14 +274,59 @@ def _wanted(bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.unpackbits(bits.value).astype(bool)
         for batch in batches:
-            own = batch.filter(pa.array(marks[np.asarray(batch.column("doc_id")) % BITS]))
-            for part in common.pieces(own, "text", SLICE):
-                texts = part.column("text").to_pylist()
-                yield pa.record_batch([part.column("doc_id"), pa.array([node_of(x) for x in sets(texts)], pa.int64()), part.column("text")], ["doc_id", "node", "text"])
+            yield batch.filter(pa.array(marks[np.asarray(batch.column("doc_id")) % BITS]))
+
+    return run
+
+
+def _shorts(frequent):
+    """Per set its short lists as 32-bit numbers in the overall order (the frequent ones last, then by hash)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        bits = np.unpackbits(frequent.value).astype(bool)
+        for batch in batches:
+            for part in common.pieces(batch, "text", SLICE):
+                rows = []
+                for members in sets(part.column("text").to_pylist()):
+                    if not len(members) or (node := node_of(members)) in seen:
+                        continue
+                    seen.add(node)
+                    short = short_lists(members, bits)
+                    last = bits[short.view(np.int64) % BITS].astype(np.uint64) << np.uint64(31)
+                    rows.append((node, len(members), ((short >> np.uint64(33)) | last).astype("<u4").tobytes()))
+                yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["node", "size", "short"])
 
     return run
 
 
+def possible(n: int, a: np.ndarray, m: int, b: np.ndarray) -> bool:
+    """Can sets of n and m members with these short lists link? Up to where both lists reach, members that the other lacks are
+    missing from the overlap, and of a linking pair at most n - T (m - T) are. Equal numbers of different members only let more pass."""
+    least = -(-LEAST * (n + m) // (100 + LEAST))
+    reach = min(a[-1], b[-1])
+    x, y = a[: np.searchsorted(a, reach)], b[: np.searchsorted(b, reach)]
+    if not len(x) and not len(y):
+        return True
+    shared_x = np.count_nonzero(b[np.minimum(np.searchsorted(b, x), len(b) - 1)] == x)
+    shared_y = np.count_nonzero(a[np.minimum(np.searchsorted(a, y), len(a) - 1)] == y)
+    return len(x) - shared_x <= n - least and len(y) - shared_y <= m - least
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = []
+        for n, a, m, b in zip(*(batch.column(c).to_pylist() for c in ("size_a", "short_a", "size_b", "short_b"))):
+            keep.append(possible(n, np.frombuffer(a, "<u4"), m, np.frombuffer(b, "<u4")))
+        yield batch.select(["a", "b", "lists"]).filter(pa.array(keep, pa.bool_()))
+
+
+def likely(pairs: DataFrame, shorts: DataFrame) -> DataFrame:
+    """The pairs (a, b, lists) whose short lists allow a link: T-occurrence over the merged lists, before any long one is probed."""
+    of = lambda k: shorts.select(F.col("node").alias(k), F.col("size").alias(f"size_{k}"), F.col("short").alias(f"short_{k}"))
+    return pairs.select("a", "b", "lists").join(of("a"), "a").join(of("b"), "b").mapInArrow(_possible, "a long, b long, lists long")
+
+
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per group the centre's text comes first; each other set is probed in the centre's by binary search."""
     group, centre = None, np.zeros(0, np.uint64)
@@ -289,12 +352,12 @@ def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     pairs = common.stage_table(pairs.join(fan, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")), "pairs")
     if pairs.isEmpty():
         return pairs.select("a", "b")
-    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select("node", "doc_id")
+    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node")
     need = common.stage_table(need, "pair-nodes")
     # a fixed number of bits marks the wanted rows, so that other texts need not be shuffled
     marks = np.packbits(_marked(need, "doc_id"))
-    wanted = docs.mapInArrow(_wanted(spark.sparkContext.broadcast(marks)), "doc_id long, node long, text string")
-    texts = wanted.join(need, ["doc_id", "node"]).select("node", "text")
+    wanted = docs.mapInArrow(_wanted(spark.sparkContext.broadcast(marks)), docs.schema)
+    texts = common.stage_table(wanted.join(need, ["doc_id", "text_hash"]).select("node", "text"), "pair-texts")
     centres = pairs.select("a", "salts").distinct().join(texts, F.col("a") == F.col("node")).select(
         "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "text")
     others = pairs.join(texts, F.col("b") == F.col("node")).select("a", "salt", "b", "text")
@@ -323,11 +386,13 @@ def components(edges: DataFrame) -> DataFrame:
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.whole_text().alias("text"))
-    rows = common.stage_table(docs.mapInArrow(_nodes, "doc_id long, node long, n_shingles long"), "sets")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.whole_text().alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    read = common.stage_table(docs.mapInArrow(_read, "doc_id long, text_hash long, node long, n long, member boolean"), "sets")
+    rows = read.where(~F.col("member")).select("doc_id", "text_hash", "node", F.col("n").alias("n_shingles"))
     known = docs.where(F.col("doc_id").isNotNull())
-    nodes = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    marks = spark.sparkContext.broadcast(np.packbits(frequent_bits(known)))
+    nodes = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("_first"))
+    nodes = nodes.select("node", "_first.doc_id", "_first.text_hash")
+    marks = spark.sparkContext.broadcast(np.packbits(frequent_bits(read.where("member"))))
     lists = (
         known.mapInArrow(_postings(marks), "member long, node long, n int")
         .repartition(common.partitions(spark), "member").sortWithinPartitions("member", "n", "node")
@@ -337,11 +402,13 @@ def join(docs: DataFrame) -> DataFrame:
     stars = lists.where(F.col("centre") != F.col("node")).groupBy(F.col("centre").alias("a"), F.col("node").alias("b")).agg(
         F.count(F.lit(1)).alias("lists"), F.bool_and("bridge").alias("bridge"))
     stars = common.stage_table(stars, "stars")
+    shorts = common.stage_table(known.mapInArrow(_shorts(marks), "node long, size long, short binary").dropDuplicates(["node"]), "short-arrays")
+    close = common.stage_table(likely(stars.where(~F.col("bridge")), shorts), "close-pairs")
     # first each node with the centre it meets most; then, with other centres, those that this has not joined
-    best = stars.where(~F.col("bridge")).groupBy("b").agg(F.max_by("a", F.struct("lists", "a")).alias("a")).select("a", "b")
+    best = close.groupBy("b").agg(F.max_by("a", F.struct("lists", "a")).alias("a")).select("a", "b")
     found = common.stage_table(verify(best, known, nodes), "links")
     labels = components(found)
-    apart = _apart(stars, labels).where(~F.col("bridge")).join(best, ["a", "b"], "left_anti").select("a", "b")
+    apart = _apart(close, labels).join(best, ["a", "b"], "left_anti").select("a", "b")
     more = common.stage_table(verify(apart, known, nodes), "links")
     if not more.isEmpty():
         found = found.unionByName(more)
@@ -357,6 +424,7 @@ def join(docs: DataFrame) -> DataFrame:
         open_lists.repartition(common.partitions(spark), "member").sortWithinPartitions("member", "n", "node").mapInArrow(_cross, "a long, b long")
         .distinct().join(stars.where(~F.col("bridge")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     )
+    cross = common.stage_table(likely(cross.withColumn("lists", F.lit(1).cast("long")), shorts), "close-pairs").select("a", "b")
     last = common.stage_table(verify(cross, known, nodes), "links")
     if not last.isEmpty():
         labels = components(found.unionByName(last))

@@ -85,3 +85,26 @@ def test_short_lists_leave_out_t_minus_one():
         members = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
         short = j.short_lists(members, bits)
         assert len(short) == len(members) - (3 * len(members) + 3) // 4 + 1 and len(set(short.tolist())) == len(short)
+
+
+def test_possible_never_drops_a_link():
+    rng = np.random.default_rng(5)
+    bits = np.zeros(j.BITS, bool)
+    bits[rng.integers(0, j.BITS, j.BITS // 3)] = True
+    dropped = 0
+    for _ in range(3000):
+        n = int(rng.integers(1, 60))
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        keep = a[rng.random(len(a)) < rng.choice([0.5, 0.8, 0.9, 1.0])]
+        b = np.unique(np.concatenate((keep, rng.integers(0, 2**63, int(rng.integers(0, 1 + n // 3))).astype(np.uint64))))
+        if not len(b):
+            continue
+        short = []
+        for s in (a, b):
+            x = j.short_lists(s, bits)
+            short.append(((x >> np.uint64(33)) | (bits[x.view(np.int64) % j.BITS].astype(np.uint64) << np.uint64(31))).astype("<u4"))
+        linked = j.links(len(a), len(b), len(np.intersect1d(a, b)))
+        ok = j.possible(len(a), short[0], len(b), short[1])
+        assert ok or not linked
+        dropped += not ok
+    assert dropped > 300
