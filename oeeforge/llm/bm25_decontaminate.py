@@ -12,8 +12,8 @@ Sizes: the index is built and sent out in shards of at most about ``SHARD_BYTES`
 of the benchmark; each shard is one narrow pass over the texts. Document frequencies are over all items. Texts are
 never shuffled; only matches are.
 
-Defined cases: null and empty texts match nothing; items without words match nothing; equal items are found each; nulls
-in item_id are kept; repeated documents give one row per (doc_id, item_id) in ``matches`` and go (or stay) together in
+Defined cases: null and empty texts match nothing; items without words match nothing; equal texts are found under each of their item_ids,
+repeated rows (same item_id and text) are one item; nulls in item_id are kept; repeated documents give one row per (doc_id, item_id) in ``matches`` and go (or stay) together in
 ``decontaminate``. Empty tables give no matches. Extra columns pass through ``decontaminate`` and are ignored elsewhere.
 """
 
@@ -180,6 +180,8 @@ class Index:
 def shards(items: DataFrame) -> Iterator[Index]:
     """The index of ``items(item_id, text)``, shard by shard; one shard at a time is on the driver."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), common.whole_text().alias("text")).where(F.col("text") != "")
+    # a repeated row is the same item: it counts once in the frequencies and stands once in every list
+    items = items.dropDuplicates(["item_id", "text"])
     size = items.agg(F.sum(F.octet_length("text")).alias("b"), F.count(F.lit(1)).alias("n")).first()
     if not size["n"]:
         return

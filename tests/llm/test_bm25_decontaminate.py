@@ -86,6 +86,17 @@ def test_planted_items_are_found_and_clean_documents_stay(spark, monkeypatch):
     assert m.matches(docs, items.limit(0)).count() == 0 and m.decontaminate(docs, items.limit(0)).count() == docs.count()
 
 
+def test_repeated_rows_of_the_benchmark_are_one_item(spark):
+    docs, items, held = plant(spark)
+    want = sorted(map(tuple, m.matches(docs, items).collect()), key=str)
+    repeated = items.unionByName(items.where("item_id % 3 = 0 OR item_id IS NULL")).unionByName(items.where("item_id = 8"))
+    assert sorted(map(tuple, m.matches(docs, repeated).collect()), key=str) == want
+    assert sorted(r.doc_id for r in m.decontaminate(docs, repeated).collect()) == [*range(40), 500, 501, 504]
+    unnamed = spark.createDataFrame([(None, "null item has words here? and an answer too")] * 3, "item_id long, text string")
+    texts = spark.createDataFrame([(1, "before it null item has words here? and an answer too after it")], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id, r.score > 0.99) for r in m.matches(texts, unnamed).collect()] == [(1, None, True)]
+
+
 def test_query_finds_every_exact_passage(spark):
     sf = "/root/testdata/sf0.01"
     items = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
