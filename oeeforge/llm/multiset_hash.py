@@ -8,7 +8,7 @@ or subtracting its vector: an edited text's fingerprint comes from the parts tha
 A paragraph's vector has two parts:
 
 - DENSE lanes modulo 2**32, cut from an extendable hash of the paragraph: these decide equality;
-- SIGNED lanes modulo 2**16: each run of up to three words adds +1 or -1 to one lane. These sums stay close for texts
+- SIGNED lanes modulo 2**32: each run of up to three words adds +1 or -1 to one lane. These sums stay close for texts
   that share most of their words, so the cosine of two fingerprints estimates their likeness (error about 0.06).
 
 ``likeness`` is 1 for equal fingerprints, else the cosine, at least 0.
@@ -76,7 +76,7 @@ def _signed_lanes(data: bytes, owner_starts: np.ndarray, owners: int) -> np.ndar
 
 def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The dense and signed lane sums of each text."""
-    dense, signed = np.zeros((len(texts), DENSE), np.uint32), np.zeros((len(texts), SIGNED), np.uint16)
+    dense, signed = np.zeros((len(texts), DENSE), np.uint32), np.zeros((len(texts), SIGNED), np.uint32)
     i = 0
     while i < len(texts):
         data, total, j = [], 0, i
@@ -85,7 +85,7 @@ def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             total += len(texts[j])
             j += 1
         starts = np.cumsum([0] + [len(x) + 1 for x in data[:-1]])
-        signed[i:j] = (_signed_lanes(b"\n".join(data), starts, j - i) & 0xFFFF).astype(np.uint16)
+        signed[i:j] = (_signed_lanes(b"\n".join(data), starts, j - i) & 0xFFFFFFFF).astype(np.uint32)
         digests, owner = [], []
         for k, text in enumerate(data):
             if text:
@@ -102,17 +102,17 @@ def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def pack(dense: np.ndarray, signed: np.ndarray) -> list[str]:
     both = [np.ascontiguousarray(x).astype(x.dtype.newbyteorder("<")).tobytes() for x in (dense, signed)]
-    return [base64.b64encode(both[0][k * DENSE * 4 : (k + 1) * DENSE * 4] + both[1][k * SIGNED * 2 : (k + 1) * SIGNED * 2]).decode() for k in range(len(dense))]
+    return [base64.b64encode(both[0][k * DENSE * 4 : (k + 1) * DENSE * 4] + both[1][k * SIGNED * 4 : (k + 1) * SIGNED * 4]).decode() for k in range(len(dense))]
 
 
 def unpack(fingerprints: list[str]) -> tuple[np.ndarray, np.ndarray]:
     raw = [base64.b64decode(x) for x in fingerprints]
     dense = np.frombuffer(b"".join(x[: DENSE * 4] for x in raw), "<u4").reshape(-1, DENSE)
-    return dense, np.frombuffer(b"".join(x[DENSE * 4 :] for x in raw), "<u2").reshape(-1, SIGNED)
+    return dense, np.frombuffer(b"".join(x[DENSE * 4 :] for x in raw), "<u4").reshape(-1, SIGNED)
 
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    x, y = (p[1].astype(np.uint16).view(np.int16).astype(np.float64) for p in (a, b))
+    x, y = (p[1].astype(np.uint32).view(np.int32).astype(np.float64) for p in (a, b))
     size = np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
     cosine = np.divide((x * y).sum(axis=1), size, out=np.zeros(len(x)), where=size > 0)
     return np.where((a[0] == b[0]).all(axis=1) & (a[1] == b[1]).all(axis=1), 1.0, np.clip(cosine, 0.0, 1.0))

@@ -57,6 +57,13 @@ def test_likeness_follows_the_shared_words():
     assert m.likeness(m.vectors([""]), a)[0] == 0.0
 
 
+def test_likeness_of_many_equal_runs():
+    for n in (32_000, 40_000, 70_000):
+        a = m.vectors(["word " * n])
+        b = m.vectors(["word " * (n - n // 4) + " ".join(f"v{i}" for i in range(n // 4))])
+        assert m.likeness(a, b)[0] > 0.9 and m.likeness(m.unpack(m.pack(*a)), m.unpack(m.pack(*b)))[0] > 0.9
+
+
 @pytest.mark.parametrize("parts", [1, 3, 8])
 def test_edits_equal_brute_force(spark, parts):
     rows = [(5, "five words are in here\nand a second line", 1), (None, "null id " * 9, 1), (9, None, 2), (9, "", 2), (12, "ab", 1), (7, "x\n" * 500, 1),
