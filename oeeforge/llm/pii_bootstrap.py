@@ -4,10 +4,11 @@ Base: e-mail addresses, IPv4 addresses, card and phone numbers by their patterns
 their checks (``BASE``). Positions are code points: the texts between the matches are got by splitting at the same
 pattern, and lengths are summed up.
 
-Bootstrapping: every digit-bearing token is a mention of an instance (its text) in lexical patterns: the two words
-before it, and the word before with the word after (digits masked). Mentions that overlap a base span are seeds. On
-the graph of patterns and instances, rounds alternate: a pattern's score is the mean score of its distinct
-instances, if enough seeds support it; an instance's score is the noisy-or of its patterns'. Mentions
+Bootstrapping: every base span and every digit-bearing token is a mention of an instance (its text) in lexical patterns: the
+two words before it, and the word before with the word after (digits masked). Base spans are seeds, and tokens that overlap one
+(a token that begins with a span is the span's mention). On the graph of patterns and instances, rounds alternate: a pattern's
+score is the mean score of its distinct instances, if enough of them are sure (seeds, or found so in the rounds before); an
+instance's score is the noisy-or of its patterns'. Tokens without digits are no candidates for ``id``. Mentions
 of high-scoring instances, and all mentions in high-scoring patterns, that no base span covers are added as kind ``id``.
 
 One narrow pass reads the texts; all else works on mentions. Edges are made distinct before any join, and sums are
@@ -114,7 +115,9 @@ def _contexts(text: Column, span: Column) -> Column:
 def _scan(docs: DataFrame, rules: Bootstrap) -> DataFrame:
     """One narrow pass over the texts: per row an id, the base spans, and the mentions with their patterns."""
     scanned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.whole_text().alias("text")).withColumn("base", base_spans(F.col("text")))
-    mentions = F.filter(_found(F.col("text"), MENTION, len(BASE)), lambda s: F.length(s["value"]) >= rules.min_length)
+    begins = lambda s: F.exists("base", lambda b: b["start"] == s["start"])
+    tokens = F.filter(_found(F.col("text"), MENTION, len(BASE)), lambda s: (F.length(s["value"]) >= rules.min_length) & ~begins(s))
+    mentions = F.concat("base", tokens)
     seeded = lambda s: F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     described = F.transform(mentions, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("instance"),
                                                          seeded(s).alias("seed"), _contexts(F.col("text"), s).alias("patterns")))
@@ -130,8 +133,8 @@ def patterns(mentions: DataFrame, rules: Bootstrap) -> tuple[DataFrame, DataFram
     for _ in range(rules.rounds):
         known = edges.join(scores, "instance", "left")
         rated = (
-            known.groupBy("pattern").agg(F.count_if("seed").alias("n_seeds"), F.avg(F.coalesce("score", F.lit(0.0))).alias("pattern_score"))
-            .where((F.col("n_seeds") >= rules.min_seeds) & (F.col("pattern_score") > 0))
+            known.groupBy("pattern").agg(F.count_if(F.col("score") >= rules.instance_score).alias("n_sure"), F.avg(F.coalesce("score", F.lit(0.0))).alias("pattern_score"))
+            .where((F.col("n_sure") >= rules.min_seeds) & (F.col("pattern_score") > 0))
         )
         rated = common.stage_table(rated, "pii-patterns")
         doubt = F.sum(F.log(F.greatest(1 - F.col("pattern_score"), F.lit(1e-9))))

@@ -63,6 +63,28 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert all(got[60 + i] == ("", "") for i in range(20)) and got[0][0].startswith("card:")
 
 
+def test_discovered_instances_support_patterns_of_their_own(spark):
+    cards = ["4111111111111111", "5500005555555559", "340000000000009", "30000000000004", "6011000000000004", "4012888888881881", "4222222222222", "5105105105105100"]
+    found = [f"ZX-9981{k}" for k in range(6)]
+    rows = [(k, f"Please write, the member card no {x} is mine") for k, x in enumerate(cards + found)]
+    rows += [(50 + k, f"then our locker key {x} was lost") for k, x in enumerate([*found, "QY-5512"])]
+    rows += [(80 + k, f"on some other day {k}934 came by") for k in range(9)]
+    text = dict(rows)
+    got = {i: a for i, _, a in strings(p.find(spark.createDataFrame(rows, "doc_id long, text string")))}
+    at = text[56].index("QY-5512")
+    assert got[56] == f"id:{at}:{at + 7}"
+    assert all(got[50 + k] for k in range(6)) and not any(got[80 + k] for k in range(9))
+
+
+def test_base_spans_without_digits_are_seeds(spark):
+    mails = ["alice.smith@example.com", "bob@example.org", "carol_j@mail.example", "dave@example.net", "erin@example.com", "frank@example.org"]
+    rows = [(k, f"you can reach me under {x} all day") for k, x in enumerate(mails)] + [(20, "you can reach me under grace77 all day")]
+    rows += [(30, "you can reach me under heidi@example.com.")]
+    got = {i: (b, a) for i, b, a in strings(p.find(spark.createDataFrame(rows, "doc_id long, text string")))}
+    assert got[20] == ("", "id:23:30")
+    assert all(got[k] == (f"email:23:{23 + len(x)}", "") for k, x in enumerate(mails)) and got[30][1] == ""
+
+
 def test_equal_rows_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a@b.cd", "x"), (1, "a@b.cd", "y"), (None, None, "z")], "doc_id long, text string, base string")
     assert sorted(strings(p.find(docs)), key=str) == sorted([(1, "email:0:6", ""), (1, "email:0:6", ""), (None, "", "")], key=str)
