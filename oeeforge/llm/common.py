@@ -13,6 +13,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from oeeforge.functions.files import delete_path
 from oeeforge.session import ensure_checkpoint_dir
 
 
@@ -32,10 +33,21 @@ def whole_text(column: str = "text") -> Column:
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet under spark.checkpoint.dir and read it back (cuts the lineage)."""
+    return staged(df, name)[0]
+
+
+def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As stage_table, with the table's path for ``discard``."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+    path = shared_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for path in paths:
+        delete_path(spark, path)
 
 
 def pieces(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:

@@ -9,14 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from oeeforge.llm import (
     bm25_decontaminate,
     cotrain_quality,
+    drift_clusters,
     edit_counts,
     line_spread,
+    metric_join,
     multiset_hash,
     overlap_join,
     page_template,
     pii_bootstrap,
     piece_codec,
     token_file,
+    vector_codes,
 )
 
 _MODULES = {
@@ -30,6 +33,9 @@ _MODULES = {
     "op8_edit_counts": edit_counts,
     "op9_token_file": token_file,
     "op10_line_spread": line_spread,
+    "op11_vector_codes": vector_codes,
+    "op12_metric_join": metric_join,
+    "op13_drift_clusters": drift_clusters,
 }
 
 
