@@ -83,8 +83,9 @@ def main() -> None:
 
     def qa():
         qs = G.classify_intent(question_table(spark, sf_dir, analysis))
-        resolved = materialize(G.resolve_entities(qs, analysis, fuzzy=False), "resolved")
-        run(G.answer_questions(resolved, persisted["recs"], persisted["metrics"]))
+        resolved = materialize(G.resolve_entities(qs, analysis), "resolved")
+        stability = materialize(A.machine_stability(analysis, DEFAULT.anomalies), "stability")
+        run(G.answer_questions(resolved, persisted["recs"], persisted["metrics"], stability, A.unevaluated_machines(analysis, stability)))
 
     timed("question_answering", qa)
     total = round(sum(times.values()), 3)

@@ -41,7 +41,7 @@ from oeeforge.sources import history as H
 
 
 def staged_exports(spark: SparkSession, folder: str, fmt: str, probed: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """Staged rows of an export folder, the Q1 structural findings (or None) and reader problems (or None)."""
+    """Staged rows of an export folder, the Q1 structural findings (or None), and what is known of the files: their probe, or the problems of workbooks."""
     problems = None
     if fmt == "xlsx":
         parsed = materialize(X.read_workbooks(spark, folder), "workbooks")
@@ -50,9 +50,9 @@ def staged_exports(spark: SparkSession, folder: str, fmt: str, probed: DataFrame
         staged = staged.withColumn(S.EXTRACTED_AT, F.current_timestamp())
     else:
         probed = X.probe_files(spark, folder, fmt) if probed is None else probed
-        staged, _ = X.read_exports(spark, folder, fmt, probed=probed)
+        staged, probed = X.load_exports(spark, fmt, probed)
         # each file's own header: Q1 per file
-        return staged, Q.structural_findings(X.file_columns(spark, folder, fmt, probed)), problems
+        return staged, Q.structural_findings(X.file_columns(spark, folder, fmt, probed)), probed
     if not missing:
         return staged, None, problems
     files = staged.select(F.col(S.SOURCE_FILE).alias("source_file")).distinct()
@@ -64,8 +64,11 @@ def cmd_load(spark, a) -> int:
     if not path_exists(spark, a.exports):
         X.file_status(spark, a.exports, fmt="parquet").show(truncate=False)
         return 1
-    staged, structural, problems = staged_exports(spark, a.exports, a.format, probed)
-    status = X.file_status(spark, a.exports, staged, a.format, problems, probed)
+    staged, structural, known = staged_exports(spark, a.exports, a.format, probed)
+    if a.format == "xlsx":
+        status = X.file_status(spark, a.exports, staged, a.format, known)
+    else:
+        status = X.file_status(spark, a.exports, fmt=a.format, probed=known)
     batch = a.batch_id or f"batch-{spark.sparkContext.applicationId}"
     audit = load_job.load(spark, staged, a.history, a.log, batch, DEFAULT, structural)
     audit.orderBy("source_file").show(truncate=False)
@@ -154,8 +157,9 @@ def cmd_ask(spark, a) -> int:
     metrics = materialize(A.with_conclusions(A.couple_metrics(h, DEFAULT.analytics), DEFAULT.analytics), "metrics")
     recs = materialize(R.with_justification(R.recommendations(
         h, O.zscore_outliers(h, DEFAULT.anomalies, ex), DEFAULT.recommendation, ex), DEFAULT.recommendation), "recs")
-    sinks.write_json(G.answer_questions(resolved, recs, metrics), f"{a.out}/answers")
-    sinks.write_json(G.stability_answer(A.machine_stability(h, DEFAULT.anomalies)), f"{a.out}/machine_stability")
+    stability = materialize(A.machine_stability(h, DEFAULT.anomalies), "stability")
+    sinks.write_json(G.answer_questions(resolved, recs, metrics, stability, A.unevaluated_machines(h, stability)), f"{a.out}/answers")
+    sinks.write_json(G.stability_answer(stability), f"{a.out}/machine_stability")
     return 0
 
 

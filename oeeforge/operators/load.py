@@ -36,7 +36,7 @@ def to_history(checked: DataFrame, batch_id: str | Column, loaded_at: Column | N
         F.col("quality_severity"),
         F.col("quality_details").cast(S.FINDINGS).alias("quality_details"),
         F.col(S.SOURCE_FILE).alias("source_file"),
-        F.col(S.ROW_INDEX).cast("int").alias("row_index"),
+        F.col(S.ROW_INDEX).cast("long").alias("row_index"),
         extracted.alias("extracted_at"),
         loaded.alias("loaded_at"),
         bid.alias("batch_id"),

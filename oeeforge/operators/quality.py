@@ -34,7 +34,7 @@ def finding(rule: str, severity: Column | str, message: Column, column: str | No
         F.lit(rule).alias("rule"),
         sev.alias("severity"),
         message.alias("message"),
-        F.col(S.ROW_INDEX).cast("int").alias("row_index"),
+        F.col(S.ROW_INDEX).cast("long").alias("row_index"),
         F.col("code_of").alias("code_of"),
         F.col("machine").alias("machine"),
         (F.lit(column) if column is not None else F.lit(None).cast("string")).alias("column"),
@@ -223,7 +223,7 @@ def structural_findings(file_columns: DataFrame) -> DataFrame:
         F.lit(S.RULE_REQUIRED_COLUMNS).alias("rule"),
         F.lit(S.SEVERITY_BLOQUANT).alias("severity"),
         F.concat(F.lit("Required column(s) absent from the export: "), F.array_join(missing, ", ")).alias("message"),
-        F.lit(None).cast("int").alias("row_index"),
+        F.lit(None).cast("long").alias("row_index"),
         F.lit(None).cast("string").alias("code_of"),
         F.lit(None).cast("string").alias("machine"),
         F.array_join(missing, ", ").alias("column"),

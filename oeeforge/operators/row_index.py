@@ -58,5 +58,5 @@ def with_file_row_index(
     cond = (F.col("_ri_pid") == F.col("_rb_pid")) & F.col(file_col).eqNullSafe(F.col("_rb_file"))
     return ranged.join(blocks, cond).select(
         *[F.col(c) for c in df.columns],
-        (F.col("_rb_base") + F.col("_ri_mid") - F.col("_rb_first")).cast("int").alias(out_col),
+        (F.col("_rb_base") + F.col("_ri_mid") - F.col("_rb_first")).cast("long").alias(out_col),
     )

@@ -8,6 +8,8 @@ pre-registered views. Decimal literals are written as doubles (``1.0e0``).
 
 from __future__ import annotations
 
+from oeeforge.operators.questions import INTENT_RULES
+
 # --- staged production view, quality findings, history -----------------------
 _VIEW = """
 v1 AS (
@@ -48,7 +50,7 @@ v AS (
     CASE WHEN l_orderkey % 61 = 0 THEN disponibilite_pct * performance_pct * qualite_pct / 10000.0e0 + 5.0e0
          ELSE disponibilite_pct * performance_pct * qualite_pct / 10000.0e0 END AS trs_pct,
     CAST(row_number() OVER (PARTITION BY source_file
-         ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS INTEGER) AS row_index,
+         ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS BIGINT) AS row_index,
     count(*) OVER (PARTITION BY source_file, code_of, machine) AS dup_n
   FROM v3
 )"""
@@ -103,9 +105,16 @@ hist AS (
 
 
 def mean(expr: str, where: str | None = None) -> str:
-    """Mean from an exact DECIMAL sum, as DOUBLE (matches ``functions.columns.exact_mean``)."""
+    """Mean from a sum in exact limbs, as DOUBLE (the same places and order as ``functions.columns.exact_mean``)."""
     f = f" FILTER (WHERE {where})" if where else ""
-    return f"(CAST(sum(CAST({expr} AS DECIMAL(38,6))){f} AS DOUBLE) / CAST(count({expr}){f} AS DOUBLE))"
+    x = f"CAST({expr} AS DOUBLE)"
+    at = lambda unit: f"round_even({x} * {2.0 ** -unit!r}, 0)"
+    limbs = [at(24)] + [f"{at(u)} - {at(u + 24)} * 16777216.0e0" for u in (0, -24, -48, -72, -96)]
+    totals = [f"CAST(sum(CAST({limb} AS BIGINT)){f} AS DOUBLE) * {2.0 ** u!r}" for limb, u in zip(limbs, (24, 0, -24, -48, -72, -96))]
+    whole = totals[-1]
+    for t in reversed(totals[:-1]):
+        whole = f"({whole} + {t})"
+    return f"({whole} / CAST(count({expr}){f} AS DOUBLE))"
 
 
 def r4(expr: str) -> str:
@@ -395,25 +404,28 @@ FROM blk b WHERE EXISTS (SELECT 1 FROM findings x WHERE x.source_file = b.source
 
 # --- question answering ------------------------------------------------------------
 def _intent_case(text: str) -> str:
-    rules = [
-        ("TRS_TREND", ["baisse", "évolution du trs", "tendance", "évolue"]),
-        ("STABLE_MACHINES", ["stable", "stables", "instable", "instables"]),
-        ("RECOMMEND_CADENCE", ["cadence recommand", "quelle cadence", "cadence optimale", "meilleure cadence",
-                               "recommandes-tu", "recommande"]),
-        ("WHY_LOW_PERFORMANCE", ["pourquoi", "performant", "performance"]),
-    ]
     whens = " ".join(
         "WHEN " + " OR ".join(f"contains(lower({text}), '{w}')" for w in words) + f" THEN '{name}'"
-        for name, words in rules
+        for name, words in INTENT_RULES
     )
     return f"CASE {whens} ELSE 'UNKNOWN' END"
 
 
+_LABEL = "lower(trim(regexp_replace(produit, '\\\\[[^\\\\]]+\\\\]', '', 'g'), ' -'))"
+
+
+def _parts(text: str, keys: str, key: str) -> str:
+    """(question_id, part): the parts of the questions that are as long as some key, for an equality join with the keys."""
+    return f"""(SELECT DISTINCT question_id, substr(t, i, n) AS part
+    FROM (SELECT question_id, {text} AS t FROM qs) CROSS JOIN (SELECT DISTINCT length({key}) AS n FROM {keys} WHERE length({key}) > 0)
+    CROSS JOIN LATERAL (SELECT unnest(range(1, length(t) - n + 2)) AS i))"""
+
+
 _QUESTIONS = f"""
-prods AS (SELECT DISTINCT produit FROM hist WHERE produit IS NOT NULL),
-machs AS (SELECT DISTINCT machine FROM hist WHERE machine IS NOT NULL),
+prods AS MATERIALIZED (SELECT DISTINCT produit FROM hist WHERE produit IS NOT NULL),
+machs AS MATERIALIZED (SELECT DISTINCT machine FROM hist WHERE machine IS NOT NULL),
 ateliers AS (SELECT DISTINCT atelier FROM hist WHERE atelier IS NOT NULL),
-qs AS (
+qs AS MATERIALIZED (
   SELECT concat('conv-', conv_id, '-', turn) AS question_id, text FROM conversations WHERE role = 'user'
   UNION ALL SELECT concat('gen-rec-', produit),
     concat('Quelle cadence recommandes-tu pour le produit ', upper(regexp_extract(produit, '\\[([^\\]]+)\\]', 1)), ' ?') FROM prods
@@ -421,24 +433,31 @@ qs AS (
   UNION ALL SELECT concat('gen-best-', machine), concat('Quelle est la meilleure cadence sur la ', machine, ' ?') FROM machs
   UNION ALL SELECT concat('gen-stable-', atelier), concat('Quelles machines de l''', atelier, ' sont les plus stables ?') FROM ateliers
   UNION ALL SELECT concat('gen-trend-', atelier), concat('Comment évolue le TRS de l''', atelier, ' ?') FROM ateliers
+  UNION ALL SELECT DISTINCT concat('gen-why-', upper(regexp_extract(produit, '\\[([^\\]]+)\\]', 1))),
+    concat('Pourquoi le produit ', upper(regexp_extract(produit, '\\[([^\\]]+)\\]', 1)), ' est-il moins performant ?') FROM prods
+    WHERE regexp_extract(produit, '\\[([^\\]]+)\\]', 1) <> ''
+  UNION ALL SELECT DISTINCT concat('gen-word-', {_LABEL}), concat('Quelle est la cadence optimale du ', {_LABEL}, ' ?') FROM prods WHERE {_LABEL} <> ''
+  UNION ALL SELECT concat('gen-couple-', machine),
+    concat('Quelle cadence recommandes-tu pour ', min(upper(regexp_extract(produit, '\\[([^\\]]+)\\]', 1))), ' sur la ', machine, ' ?')
+    FROM hist WHERE machine IS NOT NULL AND regexp_extract(produit, '\\[([^\\]]+)\\]', 1) <> '' GROUP BY machine
 ),
 qi AS (SELECT question_id, text, {_intent_case("text")} AS intent FROM qs),
-codes AS (
+codes AS MATERIALIZED (
   SELECT code, max(produit) AS produit, min(produit) AS probe_label
   FROM (SELECT produit, upper(regexp_extract(produit, '\\[([^\\]]+)\\]', 1)) AS code FROM prods)
   WHERE code <> '' GROUP BY code
 ),
-words AS (
+words AS MATERIALIZED (
   SELECT DISTINCT produit, word FROM (
     SELECT produit, unnest(string_split_regex(lower(trim(regexp_replace(produit, '\\[[^\\]]+\\]', '', 'g'), ' -')), '\\s+')) AS word
     FROM prods) WHERE length(word) >= 5
 ),
-pc AS (SELECT q.question_id, arg_min(c.produit, c.probe_label) AS p_code
-       FROM qs q JOIN codes c ON contains(upper(q.text), c.code) GROUP BY q.question_id),
-pw AS (SELECT q.question_id, min(w.produit) AS p_word
-       FROM qs q JOIN words w ON contains(lower(q.text), w.word) GROUP BY q.question_id),
-mn AS (SELECT q.question_id, first(m.machine ORDER BY length(m.machine) DESC, m.machine) AS m_name
-       FROM qs q JOIN machs m ON contains(lower(q.text), lower(m.machine)) GROUP BY q.question_id),
+pc AS MATERIALIZED (SELECT q.question_id, arg_min(c.produit, c.probe_label) AS p_code
+       FROM {_parts('upper(text)', 'codes', 'code')} q JOIN codes c ON q.part = c.code GROUP BY q.question_id),
+pw AS MATERIALIZED (SELECT q.question_id, min(w.produit) AS p_word
+       FROM {_parts('lower(text)', 'words', 'word')} q JOIN words w ON q.part = w.word GROUP BY q.question_id),
+mn AS MATERIALIZED (SELECT q.question_id, first(m.machine ORDER BY length(m.machine) DESC, m.machine) AS m_name
+       FROM {_parts('lower(text)', 'machs', 'lower(machine)')} q JOIN machs m ON q.part = lower(m.machine) GROUP BY q.question_id),
 res AS (
   SELECT qi.question_id, qi.intent, coalesce(pc.p_code, pw.p_word) AS produit,
     CASE WHEN pc.p_code IS NOT NULL THEN 'code' WHEN pw.p_word IS NOT NULL THEN 'word' END AS produit_via,
@@ -474,9 +493,9 @@ ORACLE.update({
     "intent_counts": with_base(
         "SELECT intent, count(*) AS n_questions FROM qi GROUP BY intent", _QUESTIONS),
     "product_index": with_base("SELECT code, produit, probe_label FROM codes", _QUESTIONS),
-    "entity_resolution": with_base(
+    "entity_resolution_exact": with_base(
         "SELECT question_id, intent, produit, produit_via, machine, machine_via FROM res", _QUESTIONS),
-    "recommendation_lookup": with_base(
+    "recommendation_lookup_exact": with_base(
         f"""SELECT r.question_id,
   CASE WHEN r.produit IS NULL AND r.machine IS NULL THEN 'NO_ENTITY' WHEN b.question_id IS NULL THEN 'NO_DATA'
        WHEN NOT b.fiable THEN 'INSUFFICIENT_HISTORY' ELSE 'OK' END AS status,
@@ -490,7 +509,7 @@ FROM res r LEFT JOIN (
 ) b ON b.question_id = r.question_id
 WHERE r.intent = 'RECOMMEND_CADENCE'""",
         _RECS + "," + _QUESTIONS + ",\nrm AS (" + _matches("recs3", _REC_COLS) + "\n)"),
-    "performance_lookup": with_base(
+    "performance_lookup_exact": with_base(
         f"""SELECT r.question_id, st.status, r.produit, r.machine,
   CASE WHEN st.status = 'OK' THEN b.wp END AS answer_produit, CASE WHEN st.status = 'OK' THEN b.wm END AS answer_machine,
   CASE WHEN st.status = 'OK' THEN b.wn END AS n_of, CASE WHEN st.status = 'OK' THEN {r4("b.wt")} END AS trs_moyen,

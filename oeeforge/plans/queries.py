@@ -146,7 +146,10 @@ def outlier_couples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = jobs.analysis_view(spark, sf_dir)
+    return _recommended(jobs.analysis_view(spark, sf_dir))
+
+
+def _recommended(h: DataFrame) -> DataFrame:
     recs = R.recommendations(h, jobs.outliers_of(h), DEFAULT.recommendation, DEFAULT.analytics.exclude_bloquant)
     return R.with_justification(recs, DEFAULT.recommendation)
 
@@ -159,8 +162,8 @@ def reliability_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.reliability_counts(_recommendations(spark, sf_dir))
 
 
-def _resolved(spark: SparkSession, sf_dir: str, fuzzy: bool) -> DataFrame:
-    h = jobs.analysis_view(spark, sf_dir)
+def _resolved(spark: SparkSession, sf_dir: str, fuzzy: bool, history: DataFrame | None = None) -> DataFrame:
+    h = jobs.analysis_view(spark, sf_dir) if history is None else history
     qs = G.classify_intent(question_table(spark, sf_dir, h))
     # several lookups read the resolved questions: stage them once
     return jobs.materialize(G.resolve_entities(qs, h, fuzzy=fuzzy), "resolved")
@@ -174,27 +177,48 @@ def product_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.product_index(jobs.analysis_view(spark, sf_dir))
 
 
+def _resolution(spark: SparkSession, sf_dir: str, fuzzy: bool) -> DataFrame:
+    return _resolved(spark, sf_dir, fuzzy).select("question_id", "intent", "produit", "produit_via", "machine", "machine_via")
+
+
 def entity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _resolved(spark, sf_dir, fuzzy=False).select(
-        "question_id", "intent", "produit", "produit_via", "machine", "machine_via")
+    """G3/G4/G10 with all steps, the closest match included."""
+    return _resolution(spark, sf_dir, fuzzy=True)
+
 
+def entity_resolution_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The steps that SQL can express: codes, label words and machine names contained in the question."""
+    return _resolution(spark, sf_dir, fuzzy=False)
 
-def entity_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _resolved(spark, sf_dir, fuzzy=True).select(
-        "question_id", "intent", "produit", "produit_via", "machine", "machine_via")
+
+def _recommendation_lookup(spark: SparkSession, sf_dir: str, fuzzy: bool) -> DataFrame:
+    h = jobs.analysis_view(spark, sf_dir)
+    recs = jobs.materialize(_recommended(h), "recommendations")  # persisted R table
+    return round_doubles(G.recommendation_lookup(_resolved(spark, sf_dir, fuzzy, h).filter(F.col("intent") == "RECOMMEND_CADENCE"), recs))
 
 
 def recommendation_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    resolved = _resolved(spark, sf_dir, fuzzy=False).filter(F.col("intent") == "RECOMMEND_CADENCE")
-    recs = jobs.materialize(_recommendations(spark, sf_dir), "recommendations")  # persisted R table
-    return round_doubles(G.recommendation_lookup(resolved, recs))
+    return _recommendation_lookup(spark, sf_dir, fuzzy=True)
+
+
+def recommendation_lookup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without the closest match, for the comparison with SQL."""
+    return _recommendation_lookup(spark, sf_dir, fuzzy=False)
+
+
+def _performance_lookup(spark: SparkSession, sf_dir: str, fuzzy: bool) -> DataFrame:
+    h = jobs.analysis_view(spark, sf_dir)
+    metrics = jobs.materialize(A.with_conclusions(A.couple_metrics(h, DEFAULT.analytics), DEFAULT.analytics), "metrics")
+    return round_doubles(G.performance_lookup(_resolved(spark, sf_dir, fuzzy, h).filter(F.col("intent") == "WHY_LOW_PERFORMANCE"), metrics))
 
 
 def performance_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    resolved = _resolved(spark, sf_dir, fuzzy=False).filter(F.col("intent") == "WHY_LOW_PERFORMANCE")
-    metrics = jobs.materialize(A.with_conclusions(
-        A.couple_metrics(jobs.analysis_view(spark, sf_dir), DEFAULT.analytics), DEFAULT.analytics), "metrics")
-    return round_doubles(G.performance_lookup(resolved, metrics))
+    return _performance_lookup(spark, sf_dir, fuzzy=True)
+
+
+def performance_lookup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without the closest match, for the comparison with SQL."""
+    return _performance_lookup(spark, sf_dir, fuzzy=False)
 
 
 def stability_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,13 +232,11 @@ def trend_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = jobs.analysis_view(spark, sf_dir)
-    resolved = jobs.materialize(G.resolve_entities(G.classify_intent(question_table(spark, sf_dir, h)), h, fuzzy=True),
-                                "resolved")
+    resolved = _resolved(spark, sf_dir, fuzzy=True, history=h)
     metrics = jobs.materialize(A.with_conclusions(A.couple_metrics(h, DEFAULT.analytics), DEFAULT.analytics), "metrics")
-    recs = jobs.materialize(R.with_justification(
-        R.recommendations(h, jobs.outliers_of(h), DEFAULT.recommendation, DEFAULT.analytics.exclude_bloquant),
-        DEFAULT.recommendation), "recommendations")
-    return round_doubles(G.answer_questions(resolved, recs, metrics))
+    recs = jobs.materialize(_recommended(h), "recommendations")
+    stability = jobs.materialize(A.machine_stability(h, DEFAULT.anomalies), "stability")
+    return round_doubles(G.answer_questions(resolved, recs, metrics, stability, A.unevaluated_machines(h, stability)))
 
 
 def training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -312,11 +334,14 @@ def registry() -> dict[str, Query]:
         "intent_counts": intent_counts,
         "product_index": product_index,
         "entity_resolution": entity_resolution,
+        "entity_resolution_exact": entity_resolution_exact,
         "recommendation_lookup": recommendation_lookup,
+        "recommendation_lookup_exact": recommendation_lookup_exact,
         "performance_lookup": performance_lookup,
+        "performance_lookup_exact": performance_lookup_exact,
         "stability_lookup": stability_lookup,
         "trend_lookup": trend_lookup,
-        "entity_fuzzy": entity_fuzzy,
+        "entity_fuzzy": entity_resolution,
         "answers": answers,
         "training_set": training_set,
         "rf_cv": rf_cv,

@@ -66,7 +66,7 @@ FINDING = T.StructType(
         T.StructField("rule", T.StringType()),
         T.StructField("severity", T.StringType()),
         T.StructField("message", T.StringType()),
-        T.StructField("row_index", T.IntegerType()),
+        T.StructField("row_index", T.LongType()),
         T.StructField("code_of", T.StringType()),
         T.StructField("machine", T.StringType()),
         T.StructField("column", T.StringType()),
@@ -83,7 +83,7 @@ HISTORY_SCHEMA = T.StructType(
         T.StructField("quality_severity", T.StringType()),
         T.StructField("quality_details", FINDINGS),
         T.StructField("source_file", T.StringType()),
-        T.StructField("row_index", T.IntegerType()),
+        T.StructField("row_index", T.LongType()),
         T.StructField("extracted_at", T.TimestampType()),
         T.StructField("loaded_at", T.TimestampType()),
         T.StructField("batch_id", T.StringType()),

@@ -1,16 +1,20 @@
 """Export folders as DataFrames.
 
 * S1/S2 ``probe_files``: a file-parallel job reads every file of a folder (non-recursive) once, whole, and reports its
-  status and its own header. A file that cannot be read to its end is CORRUPTED and left out whole; the others continue.
-* S1 ``read_exports``: the readable files, Parquet, CSV (header row) or JSON lines. CSV and JSON files are read in
-  groups of equal headers, so columns go by name whatever their order in a file; all cells are text at first.
-* S3 ``normalise``: drop unnamed columns, rename labels to history names,
-  ``try_cast`` to the locked types, NaN -> NULL; missing required columns are
-  added as typed NULLs (and reported by the Q1 structural finding).
-* S4 lineage: ``_source_file`` from ``_metadata.file_name``, one
-  ``_extracted_at`` per read, ``_row_index`` = 0-based row within the file
-  (Parquet: the reader's ``_metadata.row_index``, no shuffle; text formats:
-  file block start + scan order, then ``with_file_row_index``).
+  status, its rows and its own layout. A file that cannot be read to its end is CORRUPTED and left out whole; the others
+  continue.
+* S1 ``load_exports``: the readable files in groups of equal layout, one typed read per group, then cast and union. A layout
+  is a Parquet footer's names and types, or a text file's header; so files of other types or column orders do not
+  disturb each other. CSV files in which a quoted cell holds a line feed are read record by record (such a file is one
+  task); the others keep splitting by lines. The rows loaded from a text file must equal the probe's count; if not, the
+  file is CORRUPTED and left out.
+* S3 ``normalise``: drop unnamed columns, rename labels to history names, ``try_cast`` to the locked types, NaN -> NULL;
+  missing required columns are added as typed NULLs (and reported by the Q1 structural finding). A cell whose type says
+  nothing about the column (a list in a number column) is NULL.
+* S4 lineage (``lineage=False`` leaves the extraction columns out): ``_source_file``, one ``_extracted_at`` per
+  read, ``_row_index`` = 0-based BIGINT row within the file. Parquet: the reader's ``_metadata.row_index``. Text formats: the
+  rows of a file's split are counted, a running sum over the splits gives each one's base, and a narrow pass adds it; no row
+  is sorted or shuffled.
 * S5/S2 ``file_status``: one row per file of the folder: OK, EMPTY (readable, no data rows),
   UNSUPPORTED (extension), CORRUPTED (unreadable), and FILE_NOT_FOUND for a
   missing folder.
@@ -28,14 +32,13 @@ import zipfile
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from oeeforge import schema as S
 from oeeforge.functions.columns import nan_to_null
 from oeeforge.functions.files import list_files, open_input, path_exists
-from oeeforge.operators.row_index import with_file_row_index
 from oeeforge.session import materialize
 
 FORMATS = {"parquet": (".parquet",), "csv": (".csv",), "json": (".json", ".jsonl"), "xlsx": (".xlsx", ".xlsm")}
@@ -43,134 +46,203 @@ WORKBOOK_EXTENSIONS = (".xlsx", ".xlsm")
 REQUIRED_SHEET = "Détails Cadences"  # fixed value: the sheet the exports carry
 
 
-PROBE_SCHEMA = "source_file string, path string, status string, n_rows long, columns array<string>"
+PROBE_SCHEMA = "source_file string, path string, status string, n_rows long, columns array<string>, layout string"
+TEXT_FORMATS = ("csv", "json")
 
+#: Spark's type of a Parquet column by the name of its Arrow type; columns of other types (nested, times) have no usable cells.
+_PARQUET_TYPES = {
+    "int8": "tinyint", "int16": "smallint", "int32": "int", "int64": "bigint", "uint8": "smallint", "uint16": "int", "uint32": "bigint",
+    "uint64": "decimal(20,0)", "float": "float", "double": "double", "bool": "boolean", "string": "string", "large_string": "string",
+}
 
-def _probe(fmt: str, path: str, length: int) -> tuple[str, int, list[str]]:
-    """(status, rows, header) of one file, read to its end; an exception means that it cannot be read."""
+
+def _spark_type(kind) -> str | None:
+    import pyarrow.types as pt
+
+    if pt.is_dictionary(kind):
+        return _spark_type(kind.value_type)
+    if pt.is_decimal(kind) and kind.precision <= 38:
+        return f"decimal({kind.precision},{kind.scale})"
+    return _PARQUET_TYPES.get(str(kind))
+
+
+def _probe(fmt: str, path: str, length: int) -> tuple[str, int, list[str], str]:
+    """(status, rows, header, layout) of one file, read to its end; an exception means that it cannot be read."""
     import csv
     import json
 
     import pyarrow.parquet as pq
 
     if length == 0:
-        return "EMPTY", 0, []
+        return "EMPTY", 0, [], ""
+    found = lambda rows, columns, layout: ("OK" if rows else "EMPTY", rows, columns, layout)
     with open_input(path) as source:
         if fmt == "parquet":
             file = pq.ParquetFile(source)
+            names = file.schema_arrow.names
+            if len({n.lower() for n in names}) < len(names):
+                raise ValueError("columns of one name")  # no reader can tell them apart
             rows = sum(batch.num_rows for batch in file.iter_batches(batch_size=8192))
-            return ("OK" if rows else "EMPTY"), rows, file.schema_arrow.names
+            return found(rows, names, json.dumps([(f.name, _spark_type(f.type)) for f in file.schema_arrow]))
         lines = io.TextIOWrapper(source, encoding="utf-8-sig", newline="")
         if fmt == "csv":
-            reader = csv.reader(lines)
+            reader = csv.reader(lines, strict=True)
             columns = next(reader, [])
-            rows = sum(1 for r in reader if r)
-            return ("OK" if rows else "EMPTY"), rows, columns
-        columns: dict[str, None] = {}
+            single, rows, before = reader.line_num == 1, 0, reader.line_num
+            for r in reader:
+                blank = not r or (len(r) == 1 and not r[0].strip())
+                rows += not blank
+                single = single and reader.line_num == before + 1
+                before = reader.line_num
+            return found(rows, columns, json.dumps(["lines" if single else "records", columns]))
+        keys: dict[str, None] = {}
         rows = 0
         for line in lines:
             if line.strip():
                 rows += 1
-                columns.update(dict.fromkeys(json.loads(line)))
-        return ("OK" if rows else "EMPTY"), rows, list(columns)
+                keys.update(dict.fromkeys(json.loads(line)))
+        return found(rows, list(keys), json.dumps(list(keys)))
 
 
-def probe_files(spark: SparkSession, folder: str, fmt: str = "parquet") -> DataFrame:
-    """A row per file of the folder, staged once: (source_file, path, status, n_rows, columns of its own header).
-
-    The driver lists the folder; each file is read by a task, as a stream. A missing folder is one FILE_NOT_FOUND row.
-    """
-    if not path_exists(spark, folder):
-        return spark.createDataFrame([(folder, folder, "FILE_NOT_FOUND", 0, [])], PROBE_SCHEMA)
+def probe_paths(spark: SparkSession, listed: DataFrame, fmt: str) -> DataFrame:
+    """The probe of files given as (name, path, length); each file is read by a task, as a stream."""
 
     def probe(it):
         for pdf in it:
             out = []
             for name, path, length in zip(pdf["name"], pdf["path"], pdf["length"]):
                 if not name.lower().endswith(FORMATS[fmt]):
-                    out.append((name, path, "UNSUPPORTED", 0, []))
+                    out.append((name, path, "UNSUPPORTED", 0, [], ""))
                     continue
                 try:
                     out.append((name, path, *_probe(fmt, path, length)))
                 except Exception:  # noqa: BLE001 - whatever keeps a file from being read is its status
-                    out.append((name, path, "CORRUPTED", 0, []))
-            yield pd.DataFrame(out, columns=["source_file", "path", "status", "n_rows", "columns"])
+                    out.append((name, path, "CORRUPTED", 0, [], ""))
+            yield pd.DataFrame(out, columns=["source_file", "path", "status", "n_rows", "columns", "layout"])
+
+    return materialize(listed.mapInPandas(probe, PROBE_SCHEMA), "file-probe")
+
 
+def probe_files(spark: SparkSession, folder: str, fmt: str = "parquet") -> DataFrame:
+    """A row per file of the folder, staged once: (source_file, path, status, n_rows, columns of its own header, layout).
+
+    The driver lists the folder. A missing folder is one FILE_NOT_FOUND row.
+    """
+    if not path_exists(spark, folder):
+        return spark.createDataFrame([(folder, folder, "FILE_NOT_FOUND", 0, [], "")], PROBE_SCHEMA)
     files = list_files(spark, folder)
     listed = spark.createDataFrame(files, "name string, path string, length long")
-    return materialize(listed.repartition(max(1, min(len(files), 10_000))).mapInPandas(probe, PROBE_SCHEMA), "file-probe")
+    return probe_paths(spark, listed.repartition(max(1, min(len(files), 10_000))), fmt)
+
 
+def _groups(probed: DataFrame) -> list[tuple[str, list[str]]]:
+    """(layout, paths) of the readable files. Their names pass through the driver, as for any file scan."""
+    found: dict[str, list[str]] = {}
+    for r in probed.filter("status = 'OK'").select("layout", "path").collect():
+        found.setdefault(r.layout, []).append(re.sub(r"([\[\]{}*?\\])", r"\\\1", r.path))  # a path, not a pattern
+    return sorted(found.items())
 
-def _read(spark: SparkSession, fmt: str, probed: DataFrame) -> DataFrame:
-    """The files that the probe found readable. Their names and headers pass through the driver, as for any file scan."""
-    found = probed.filter("status = 'OK'").select("path", "columns").collect()
+
+def _read_group(spark: SparkSession, fmt: str, layout: str, paths: list[str]) -> DataFrame:
+    """The export columns of files of one layout, by name, with their lineage."""
+    import json
+
+    described = json.loads(layout)
+    labels = {label for label, _, _ in S.EXPORT_COLUMNS}
     if fmt == "parquet":
-        if not found:
-            return _nothing(spark)
-        return spark.read.option("mergeSchema", "true").parquet(*[r.path for r in found])
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for r in found:
-        groups.setdefault(tuple(r.columns), []).append(r.path)
-    out = None
-    for header, paths in sorted(groups.items()):
-        # names that repeat or are empty are no export labels: they are read by place and dropped
-        names = [c if c and header.index(c) == i else f"_c{i}" for i, c in enumerate(header)]
-        text = T.StructType([T.StructField(c, T.StringType()) for c in names])
-        reader = spark.read.schema(text)
-        part = reader.option("header", "true").option("enforceSchema", "true").csv(paths) if fmt == "csv" else reader.json(paths)
-        part = part.select(*[f"`{c}`" for c in names if not re.fullmatch(r"_c\d+", c)], *_lineage(fmt))
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out if out is not None else _nothing(spark)
-
-
-def _nothing(spark: SparkSession) -> DataFrame:
-    lineage = f"{S.SOURCE_FILE} string, _ri_parquet long, _blk long, _seq long"
-    return spark.createDataFrame([], ", ".join(f"`{label}` string" for label, _, _ in S.EXPORT_COLUMNS) + ", " + lineage)
+        wanted = [(n, t) for n, t in described if n in labels]
+        schema = T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in wanted if t])
+        part = spark.read.schema(schema).parquet(*paths)
+        nothing = [F.lit(None).cast("string").alias(n) for n, t in wanted if not t]
+        return part.select(*[F.col(f"`{f.name}`") for f in schema.fields], *nothing, *_lineage(fmt))
+    header = described[1] if fmt == "csv" else described
+    # names that repeat or are empty are no export labels: they are read by place and dropped
+    names = [c if c and header.index(c) == i else f"_c{i}" for i, c in enumerate(header)]
+    reader = spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in names]))
+    if fmt == "json":
+        part = reader.json(paths)
+    else:
+        reader = reader.option("header", "true").option("enforceSchema", "true").option("escape", '"')
+        part = reader.option("multiLine", str(described[0] == "records").lower()).csv(paths)
+    own = [c for c in names if c in labels]
+    return part.select(*[F.col(f"`{c}`") for c in own], *_lineage(fmt))
 
 
 def _lineage(fmt: str) -> list[Column]:
-    name = F.col("_metadata.file_name").alias(S.SOURCE_FILE)
+    # the reader gives names as in a URI; a plus sign stands for itself there
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))).alias(S.SOURCE_FILE)
     if fmt == "parquet":
-        return [name, F.col("_metadata.row_index").cast("int").alias("_ri_parquet")]
+        return [name, F.col("_metadata.row_index").cast("long").alias(S.ROW_INDEX)]
     return [name, F.col("_metadata.file_block_start").alias("_blk"), F.monotonically_increasing_id().alias("_seq")]
 
 
+def _typed(raw: DataFrame, label: str, dtype: T.DataType) -> Column:
+    """S3: the column in its locked type; numbers that are NaN, and cells that cannot be read as the type, are NULL."""
+    c, src = F.col(f"`{label}`"), raw.schema[label].dataType
+    if isinstance(src, (T.ArrayType, T.MapType, T.StructType)):
+        return F.lit(None).cast(dtype)
+    if isinstance(dtype, T.StringType):
+        return c.cast("string")
+    if not isinstance(src, (T.NumericType, T.StringType, T.BooleanType)):
+        c = c.cast("string")
+    if isinstance(dtype, T.IntegerType) and not isinstance(src, T.IntegralType):
+        c = c.try_cast("double")  # whole numbers may be written with a decimal part
+    typed = c if src == dtype else c.try_cast(dtype)
+    return nan_to_null(typed) if isinstance(dtype, T.DoubleType) else typed
+
+
 def normalise(raw: DataFrame) -> tuple[DataFrame, list[str]]:
     """S3: (staged DataFrame with history names, list of missing export labels)."""
     present = [c for c in raw.columns if not (c.startswith("Unnamed:") or re.fullmatch(r"_c\d+", c))]
     missing = [label for label, _, _ in S.EXPORT_COLUMNS if label not in present]
-    cols: list[Column] = []
-    for label, name, dtype in S.EXPORT_COLUMNS:
-        if label in present:
-            c = F.col(f"`{label}`")
-            if isinstance(dtype, T.StringType):
-                cols.append(c.cast("string").alias(name))
-            else:
-                src = raw.schema[label].dataType
-                typed = c if src == dtype else F.expr(f"try_cast(`{label}` AS {dtype.simpleString()})")
-                if isinstance(dtype, T.DoubleType):
-                    typed = nan_to_null(typed)
-                cols.append(typed.alias(name))
-        else:
-            cols.append(F.lit(None).cast(dtype).alias(name))
+    cols = [(_typed(raw, label, dtype) if label in present else F.lit(None).cast(dtype)).alias(name) for label, name, dtype in S.EXPORT_COLUMNS]
     return raw.select(*cols, *[c for c in raw.columns if c.startswith("_")]), missing
 
 
+def with_split_row_index(rows: DataFrame, file_col: str = S.SOURCE_FILE, out_col: str = S.ROW_INDEX) -> DataFrame:
+    """S4 for text files: ``out_col`` from (_blk, _seq), the split's start and the scan order within the split.
+
+    ``rows`` must be a staged table, so that both passes see the same numbers. A split is read in order by one task; the
+    counts (one row per file and split) are summed along each file and joined to the rows.
+    """
+    splits = rows.groupBy(F.col(file_col).alias("_f"), F.col("_blk").alias("_b")).agg(F.min("_seq").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_f").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    joined = rows.join(splits, F.col(file_col).eqNullSafe(F.col("_f")) & (F.col("_blk") == F.col("_b")))
+    own = [c for c in rows.columns if c not in ("_blk", "_seq")]
+    return joined.select(*own, (F.col("_base") + F.col("_seq") - F.col("_first")).alias(out_col))
+
+
+def load_exports(spark: SparkSession, fmt: str, probed: DataFrame, extracted_at: str | None = None, lineage: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(staged export rows of the readable files, the probe with the final status of each file)."""
+    groups = _groups(probed)
+    staged = None
+    for layout, paths in groups:
+        part = normalise(_read_group(spark, fmt, layout, paths))[0]
+        staged = part if staged is None else staged.unionByName(part)
+    if staged is None:
+        staged = spark.createDataFrame([], T.StructType([*S.STAGED_SCHEMA.fields, T.StructField(S.SOURCE_FILE, T.StringType()), T.StructField(S.ROW_INDEX, T.LongType())]))
+    elif fmt in TEXT_FORMATS:
+        rows = materialize(staged, "text-rows")
+        loaded = rows.groupBy(F.col(S.SOURCE_FILE).alias("_f")).agg(F.count(F.lit(1)).alias("_loaded"))
+        whole = F.coalesce("_loaded", F.lit(0)) == F.col("n_rows")
+        checked = probed.join(loaded, F.col("source_file") == F.col("_f"), "left")
+        status = F.when((F.col("status") == "OK") & ~whole, "CORRUPTED").otherwise(F.col("status"))
+        probed = materialize(checked.withColumn("status", status).select(*probed.columns), "file-probe")
+        bad = probed.filter("status = 'CORRUPTED'").select(F.col("source_file").alias("_f"))
+        staged = with_split_row_index(rows.join(bad, F.col(S.SOURCE_FILE) == F.col("_f"), "left_anti"))
+    if lineage:
+        staged = staged.withColumn(S.EXTRACTED_AT, F.to_timestamp(F.lit(extracted_at)) if extracted_at else F.current_timestamp())
+    return staged, probed
+
+
 def read_exports(spark: SparkSession, folder: str, fmt: str = "parquet", extracted_at: str | None = None,
-                 row_index: bool = True, probed: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
-    """Staged export rows (history names + lineage) and the missing labels; ``probed``: the folder's probe, if there is one."""
+                 probed: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+    """Staged export rows (history names + lineage) and the labels that no file has; ``probed``: the folder's probe, if there is one."""
     probed = probe_files(spark, folder, fmt) if probed is None else probed
-    raw = _read(spark, fmt, probed)
-    if fmt == "parquet" and S.SOURCE_FILE not in raw.columns:
-        raw = raw.select("*", *_lineage(fmt))
-    staged, missing = normalise(raw)
-    ts = F.to_timestamp(F.lit(extracted_at)) if extracted_at else F.current_timestamp()
-    staged = staged.withColumn(S.EXTRACTED_AT, ts)
-    if fmt == "parquet":
-        staged = staged.withColumn("_ri_parquet", F.col("_ri_parquet").cast("int")).withColumnRenamed("_ri_parquet", S.ROW_INDEX).drop("_blk", "_seq")
-    elif row_index:
-        staged = with_file_row_index(staged, S.SOURCE_FILE, ["_blk", "_seq"], S.ROW_INDEX).drop("_blk", "_seq", "_ri_parquet")
-    return staged, missing
+    staged, probed = load_exports(spark, fmt, probed, extracted_at)
+    here = {r[0] for r in probed.filter("status = 'OK'").select(F.explode("columns")).distinct().collect()}
+    return staged, [label for label, _, _ in S.EXPORT_COLUMNS if label not in here]
 
 
 def file_status(spark: SparkSession, folder: str, staged: DataFrame | None = None, fmt: str = "parquet",
@@ -326,7 +398,7 @@ def read_workbooks(spark: SparkSession, folder: str, sheet: str = REQUIRED_SHEET
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xls[xm]").load(folder)
     return files.select("path", "content").mapInPandas(
-        parse, "source_file string, _row_index int, cells map<string,string>, _status string")
+        parse, "source_file string, _row_index long, cells map<string,string>, _status string")
 
 
 def workbook_frame(parsed: DataFrame) -> DataFrame:

@@ -37,5 +37,5 @@ def rows_frame(spark, rows, **extra):
     from pyspark.sql import types as T
 
     schema = T.StructType(list(S.STAGED_SCHEMA.fields) + [
-        T.StructField(S.SOURCE_FILE, T.StringType()), T.StructField(S.ROW_INDEX, T.IntegerType())])
+        T.StructField(S.SOURCE_FILE, T.StringType()), T.StructField(S.ROW_INDEX, T.LongType())])
     return spark.createDataFrame([tuple(d[f.name] for f in schema.fields) for d in data], schema)
