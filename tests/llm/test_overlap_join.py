@@ -51,9 +51,11 @@ def corpus(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("seed,n,frequent", [(1, 160, 64), (2, 300, 8)])
-def test_components_equal_brute_force(spark, monkeypatch, seed, n, frequent):
+@pytest.mark.parametrize("seed,n,frequent,rounds,tile", [(1, 160, 64, 6, 1024), (2, 300, 8, 6, 1024), (3, 200, 64, 0, 4), (4, 200, 8, 1, 7)])
+def test_components_equal_brute_force(spark, monkeypatch, seed, n, frequent, rounds, tile):
     monkeypatch.setattr(j, "FREQUENT", frequent)
+    monkeypatch.setattr(j, "ROUNDS", rounds)
+    monkeypatch.setattr(j, "TILE", tile)
     rows = corpus(seed, n)
     got = j.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
@@ -108,3 +110,45 @@ def test_possible_never_drops_a_link():
         assert ok or not linked
         dropped += not ok
     assert dropped > 300
+
+
+def test_bins_never_drop_a_link():
+    rng = np.random.default_rng(6)
+    dropped = 0
+    for _ in range(2000):
+        n = int(rng.integers(1, 200))
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+        keep = a[rng.random(len(a)) < rng.choice([0.2, 0.8, 0.9, 1.0])]
+        b = np.unique(np.concatenate((keep, rng.integers(0, 2**63, int(rng.integers(1, 2 + n // 3))).astype(np.uint64))))
+        ok = j.reachable(np.array([len(a)]), j.sketch(a)[None], np.array([len(b)]), j.sketch(b)[None])[0, 0]
+        assert ok or not j.links(len(a), len(b), len(np.intersect1d(a, b)))
+        dropped += not ok
+    assert dropped > 300
+
+
+def test_a_group_of_near_copies_costs_pairs_in_proportion(spark, monkeypatch):
+    made = {}
+
+    def counted(pairs, own, stage, f=j.verify):
+        pairs = j.common.stage_table(pairs, "counted")
+        made[key] = made.get(key, 0) + pairs.count()
+        return f(pairs, own, stage)
+
+    monkeypatch.setattr(j, "verify", counted)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for k in range(400):  # copies of one text with one to three words changed: those with three do not link with each other
+        words = list(base)
+        for _ in range(1 + k % 3):
+            words[rng.randrange(150)] = f"x{k}"
+        rows.append((k, " ".join(words)))
+    for key in (200, 400):
+        assert {r.component_id for r in j.join(spark.createDataFrame(rows[:key], "doc_id long, text string")).collect()} == {0}
+    assert made[200] < 5 * 200 and made[400] < 5 * 400  # of 19,900 and 79,800 pairs
+
+
+def test_a_doc_id_with_two_texts_does_not_join_them(spark):
+    a, b = "a b c d e f g h", "q r s t u v w x"
+    got = j.join(spark.createDataFrame([(12, a), (12, b), (5, a), (13, b)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(5, 5), (12, 5), (12, 12), (13, 12)]
