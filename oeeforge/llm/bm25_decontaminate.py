@@ -1,16 +1,18 @@
 """Operator 4: benchmark decontamination by BM25 with block-max WAND.
 
 The benchmark items are indexed (inverted lists over item numbers, cut into blocks with their largest weights); every
-passage of every training text is a query. Passages are windows of words, twice as long as the longest item and half
-overlapping, so each item that a text holds lies wholly in one of them. A passage's score for an item is its BM25 sum
-divided by the item's own (an exact copy has 1), and every item from ``threshold`` on is retrieved: first
-the sum of the lists' largest weights is taken for all passages of a slice at once, and passages that reach the
-threshold by it go through the block-max WAND search. A retrieved item counts when the passage also holds enough of the
-word trigrams of its question and of its answer (its last sentence).
+passage of every training text is a query. An item's passages are windows of words, twice as long as the item and half
+overlapping, so an item that a text holds lies wholly in one of them. A passage's score for an item is its BM25 sum
+divided by the item's own (an exact copy has 1). Passages are queried together: a stretch of three times the words of the shard's
+longest item holds every passage that begins in its first third, and scores at least as much as each of them. So first
+the sum of the lists' largest weights is taken for all stretches of a slice at once, stretches that reach the
+threshold by it go through the block-max WAND search, and the items found there are scored on their own passages. An item counts
+when one of these reaches ``threshold`` and holds enough of the word trigrams of its question and of its answer (its last
+sentence). What is found depends on the item and the text, not on the other items of a shard.
 
 Sizes: the index is built and sent out in shards of at most about ``SHARD_BYTES`` of item text, whatever the size
-of the benchmark; each shard is one narrow pass over the texts. Document frequencies are over all items. Texts are
-never shuffled; only matches are.
+of the benchmark; each shard is one narrow pass over the texts. An item's text is written once; its terms carry its number.
+Document frequencies are over all items. Texts are never shuffled; only matches are.
 
 Defined cases: null and empty texts match nothing; items without words match nothing; equal texts are found under each of their item_ids,
 repeated rows (same item_id and text) are one item; nulls in item_id are kept; repeated documents give one row per (doc_id, item_id) in ``matches`` and go (or stay) together in
@@ -69,7 +71,9 @@ class Index:
     item_ids: list
     texts: list[str]
     terms: dict[str, tuple[np.ndarray, np.ndarray]]
-    window: int
+    #: Words of each item, and of the longest.
+    n_words: list[int]
+    longest: int
     parts: dict[int, tuple[set, set]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -84,6 +88,10 @@ class Index:
         for t, (items, weights) in self.terms.items():
             starts = np.flatnonzero(np.concatenate(([True], items[1:] // BLOCK != items[:-1] // BLOCK)))
             self.blocks[t] = dict(zip((items[starts] // BLOCK).tolist(), np.maximum.reduceat(weights, starts).tolist()))
+        self.weights: list[dict[str, float]] = [{} for _ in self.item_ids]
+        for t, (items, weights) in self.terms.items():
+            for i, w in zip(items.tolist(), weights.tolist()):
+                self.weights[i][t] = w
         self.lists = {t: (items.tolist(), weights.tolist()) for t, (items, weights) in self.terms.items()}
 
     def search(self, words: set[str], threshold: float) -> list[tuple[int, float]]:
@@ -136,34 +144,39 @@ class Index:
         return (len(question & own) / len(question) if question else 0.0), (len(answer & own) / len(answer) if answer else 1.0)
 
     def matches(self, texts: list[str], rules: Rules) -> list[dict[int, tuple[float, float, float, int]]]:
-        """Per text: item -> best score, its question and answer overlaps, and the number of passages that match."""
+        """Per text: item -> best score, its question and answer overlaps, and the number of the item's passages that match."""
         out: list[dict[int, tuple[float, float, float, int]]] = [{} for _ in texts]
-        half = self.window // 2
-        for i, (text, halves) in enumerate(zip(texts, self._promising(texts, rules.threshold))):
-            if not len(halves):
+        for i, (text, thirds) in enumerate(zip(texts, self._promising(texts, rules.threshold))):
+            if not len(thirds):
                 continue
             words = words_of(text)
-            for h in halves.tolist():
-                passage = words[h * half : h * half + self.window]
-                for item, score in self.search(set(passage), rules.threshold):
-                    q, a = self.overlap(item, passage)
-                    if q >= rules.question and a >= rules.answer:
-                        best = out[i].get(item, (0.0, 0.0, 0.0, 0))
-                        out[i][item] = (*max(best[:3], (score, q, a)), best[3] + 1)
+            for h in thirds.tolist():
+                begin = h * self.longest
+                for item, _ in self.search(set(words[begin : begin + 3 * self.longest]), rules.threshold):
+                    step, weights = self.n_words[item], self.weights[item]
+                    for at in range(-(-begin // step) * step, min(begin + self.longest, len(words)), step):
+                        passage = words[at : at + 2 * step]
+                        score = sum(weights.get(w, 0.0) for w in set(passage))
+                        if score < rules.threshold - 1e-9:
+                            continue
+                        q, a = self.overlap(item, passage)
+                        if q >= rules.question and a >= rules.answer:
+                            best = out[i].get(item, (0.0, 0.0, 0.0, 0))
+                            out[i][item] = (*max(best[:3], (score, q, a)), best[3] + 1)
         return out
 
     def _promising(self, texts: list[str], threshold: float) -> list[np.ndarray]:
-        """Per text the numbers of the half windows where a window begins in which the largest weights of the window's terms
+        """Per text the numbers of the thirds where a stretch begins in which the largest weights of its terms
         for some group of items reach the threshold together."""
-        half, number = self.window // 2, self.number
+        third, number = self.longest, self.number
         place, term, ends = [], [], []
         for text in texts:
             words = words_of(text)
-            distinct = {(k // half, number[t]) for k, t in enumerate(words) if t in number}
+            distinct = {(k // third, number[t]) for k, t in enumerate(words) if t in number}
             begin = ends[-1] if ends else 0
             place += [begin + h for h, _ in distinct]
             term += [t for _, t in distinct]
-            ends.append(begin + len(words) // half + 2)  # one row more, so that a text's last window has nothing after it
+            ends.append(begin + len(words) // third + 3)  # two rows more, so that a text's last stretch has nothing after it
         bound = np.zeros((ends[-1] if ends else 0, self.group_top.shape[1]), np.float32)
         if place:
             place = np.array(place)
@@ -173,8 +186,8 @@ class Index:
             bound[place[starts]] = np.add.reduceat(rows, starts, axis=0)
         good = np.zeros(len(bound), bool)
         if len(bound):
-            good[:-1] = (bound[:-1] + bound[1:]).max(axis=1) >= threshold - 1e-4
-        return [np.flatnonzero(good[a : b - 1]) for a, b in zip([0, *ends], ends)]
+            good[:-2] = (bound[:-2] + bound[1:-1] + bound[2:]).max(axis=1) >= threshold - 1e-4
+        return [np.flatnonzero(good[a : b - 2]) for a, b in zip([0, *ends], ends)]
 
 
 def shards(items: DataFrame) -> Iterator[Index]:
@@ -186,46 +199,48 @@ def shards(items: DataFrame) -> Iterator[Index]:
     if not size["n"]:
         return
     many = -(-size["b"] // SHARD_BYTES)
-    items = common.stage_table(items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(many)).cast("int")), "benchmark-items")
-    terms = items.mapInArrow(_item_terms, "shard int, item_id long, text string, term string, tf int, n_words int")
-    terms = common.stage_table(terms, "benchmark-terms")
-    mean = terms.select("shard", "item_id", "text", "n_words").distinct().agg(F.avg("n_words")).first()[0]
+    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(many)).cast("int")).withColumn("number", F.monotonically_increasing_id())
+    items = common.stage_table(items, "benchmark-items")
+    terms = common.stage_table(items.mapInArrow(_item_terms, "shard int, number long, term string, tf int, n_words int"), "benchmark-terms")
+    mean = terms.groupBy("number").agg(F.first("n_words").alias("n_words")).agg(F.avg("n_words")).first()[0]
     frequency = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     postings = common.stage_table(terms.join(frequency, "term"), "benchmark-postings")
     for shard in range(many):
-        rows = postings.where(F.col("shard") == shard).orderBy("item_id", "text", "term").collect()
+        rows = postings.where(F.col("shard") == shard).orderBy("number", "term").collect()
         if rows:
-            yield _index(rows, size["n"], mean)
+            own = {r["number"]: (r["item_id"], r["text"]) for r in items.where(F.col("shard") == shard).select("number", "item_id", "text").collect()}
+            yield _index(rows, own, size["n"], mean)
 
 
 def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for shard, item, text in zip(*(batch.column(c).to_pylist() for c in ("shard", "item_id", "text"))):
+        for shard, number, text in zip(*(batch.column(c).to_pylist() for c in ("shard", "number", "text"))):
             words = words_of(text)
             counts: dict[str, int] = {}
             for w in words:
                 counts[w] = counts.get(w, 0) + 1
-            rows += [(shard, item, text, t, n, len(words)) for t, n in counts.items()]
-        kinds = (pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32())
-        yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["shard", "item_id", "text", "term", "tf", "n_words"])
+            rows += [(shard, number, t, n, len(words)) for t, n in counts.items()]
+        kinds = (pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int32())
+        yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["shard", "number", "term", "tf", "n_words"])
 
 
-def _index(rows: list, n_items: int, mean: float) -> Index:
-    numbers: dict[tuple, int] = {}
+def _index(rows: list, items: dict[int, tuple], n_items: int, mean: float) -> Index:
+    places: dict[int, int] = {}
     own: list[tuple[int, str, float]] = []
-    longest = 1
+    n_words: list[int] = []
     for r in rows:
-        i = numbers.setdefault((r["item_id"], r["text"]), len(numbers))
+        i = places.setdefault(r["number"], len(places))
+        if i == len(n_words):
+            n_words.append(r["n_words"])
         idf = np.log(1 + (n_items - r["df"] + 0.5) / (r["df"] + 0.5))
         own.append((i, r["term"], idf * r["tf"] * (K1 + 1) / (r["tf"] + K1 * (1 - B + B * r["n_words"] / mean))))
-        longest = max(longest, r["n_words"])
     whole = np.bincount([i for i, _, _ in own], weights=[max(w, 1e-12) for _, _, w in own])
     lists: dict[str, list] = {}
     for i, term, weight in own:
         lists.setdefault(term, []).append((i, max(weight, 1e-12) / whole[i]))
     terms = {t: (np.array([i for i, _ in x]), np.array([w for _, w in x])) for t, x in lists.items()}
-    return Index([k[0] for k in numbers], [k[1] for k in numbers], terms, 2 * longest)
+    return Index([items[k][0] for k in places], [items[k][1] for k in places], terms, n_words, max(n_words))
 
 
 def _search(index, rules: Rules):

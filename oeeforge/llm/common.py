@@ -26,6 +26,24 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """The name, with underscores added until no column (whatever its case) has it."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def packed(docs: DataFrame, *own) -> DataFrame:
+    """A row as one column, ``row``, beside the named columns that an operator works with: no input column can clash with them."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *own)
+
+
+def unpacked(columns: list[str]) -> list[Column]:
+    """The columns of ``row`` again."""
+    return [F.col("row").getField(c).alias(c) for c in columns]
+
+
 def whole_text(column: str = "text") -> Column:
     """The text with null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

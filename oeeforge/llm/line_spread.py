@@ -3,15 +3,17 @@
 Every line is hashed; one HyperLogLog sketch of its sites per line hash is built on the map side and merged by
 the aggregation, so that a line on a third of all rows crosses the shuffle as one sketch per task. Lines
 whose estimate is clearly over (or under) the threshold are decided by it; those near it get an exact distinct count.
-Lines that spread over at least ``min_sites`` sites are taken out of the texts.
+Lines that spread over at least ``min_sites`` sites are taken out of all texts.
 
-A document that consists mostly of such lines is a copied document rather than a page with boilerplate: where they
-make up more than ``most`` of its characters it is left whole (near-duplicate removal deals with copies).
+Sites are counted over distinct texts: a text that stands on many sites word for word counts for one of them (the least), so a
+copied document is no boilerplate by being copied; near-duplicate removal deals with copies. Lines of fewer than
+``min_chars`` characters never count: short sentences and headings recur on many sites by chance.
 
 Defined cases: a null text is empty, and stays null; a null site counts as one site of its own. Lines are
-compared without the spaces around them; shorter ones than ``min_chars`` never count. Rows are matched by doc_id
+compared without the spaces around them. Rows are matched by doc_id
 and a hash of the text, so null and repeated ids are no trouble; equal rows get equal results. Empty tables give
-empty results. Extra columns pass through unchanged; a column n_chars is brought up to date.
+empty results. Extra columns pass through unchanged, whatever their names (the added columns lines_total and lines_removed
+take underscores where a name is taken); a column n_chars is brought up to date.
 """
 
 from __future__ import annotations
@@ -23,8 +25,6 @@ from oeeforge.llm import common
 
 MIN_SITES = 8
 MIN_CHARS = 20
-#: The largest share of a document's characters that is taken out.
-MOST = 0.5
 #: log2 of the sketch's registers (standard error about 3 %) and the band around the threshold that is counted exactly.
 LOG_K = 10
 BAND = 0.15
@@ -34,20 +34,26 @@ def _lines(column: Column) -> Column:
     return F.split(column, "\n", -1)
 
 
-def _exploded(docs: DataFrame, site: str, text: str) -> DataFrame:
-    """A row per line: the document's key, the site's and the line's hashes, position and lengths."""
-    whole = common.whole_text(text)
+def _site(column: str) -> Column:
+    return F.coalesce(F.concat(F.lit("s"), F.col(column).cast("string")), F.lit(""))
+
+
+def _exploded(docs: DataFrame, text: str, *own: Column) -> DataFrame:
+    """A row per line: the columns asked for, the line's hash, and its position."""
     return (
-        docs.select(F.col("doc_id"), F.xxhash64(whole).alias("text_hash"),
-                    F.coalesce(F.concat(F.lit("s"), F.col(site).cast("string")), F.lit("")).alias("site"), F.posexplode(_lines(whole)).alias("pos", "line"))
-        .withColumn("size", F.length("line"))
-        .withColumn("line_hash", F.xxhash64(F.trim("line")))
+        docs.select(*own, F.posexplode(_lines(common.whole_text(text))).alias("pos", "line"))
+        .withColumn("size", F.length(F.trim("line"))).withColumn("line_hash", F.xxhash64(F.trim("line"))).drop("line")
     )
 
 
 def spread_lines(docs: DataFrame, site: str = "source", text: str = "text", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
     """line_hash of every line of ``min_chars`` that occurs on at least ``min_sites`` distinct sites."""
-    lines = _exploded(docs, site, text).where(F.length(F.trim("line")) >= min_chars).select("line_hash", "site")
+    hashed = docs.select(_site(site).alias("site"), F.xxhash64(common.whole_text(text)).alias("text_hash"))
+    # texts on several sites count for the least one; few, against all texts
+    copied = hashed.groupBy("text_hash").agg(F.min("site").alias("least"), F.max("site").alias("most")).where("least <> most")
+    copied = common.stage_table(copied.select(F.col("text_hash").alias("_copied"), "least"), "copied-texts")
+    lines = _exploded(docs, text, _site(site).alias("site"), F.xxhash64(common.whole_text(text)).alias("text_hash")).where(F.col("size") >= min_chars)
+    lines = lines.join(copied, F.col("text_hash") == F.col("_copied"), "left").select("line_hash", F.coalesce("least", "site").alias("site"))
     estimate = lines.groupBy("line_hash").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LOG_K))).alias("sites"))
     wide = common.stage_table(estimate.where(F.col("sites") >= min_sites * (1 - BAND)), "line-spread")
     near = wide.where(F.col("sites") < min_sites * (1 + BAND)).select("line_hash")
@@ -59,28 +65,28 @@ def spread_lines(docs: DataFrame, site: str = "source", text: str = "text", min_
 
 
 def remove_spread_lines(docs: DataFrame, site: str = "source", text: str = "text", min_sites: int = MIN_SITES,
-                        min_chars: int = MIN_CHARS, most: float = MOST) -> DataFrame:
+                        min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the boilerplate lines taken out of ``text``, and the added columns lines_total and lines_removed."""
+    columns = docs.columns
     spread = common.stage_table(spread_lines(docs, site, text, min_sites, min_chars), "boilerplate-lines")
+    whole = common.whole_text(text)
     hits = (
-        _exploded(docs, site, text).where(F.length(F.trim("line")) >= min_chars)
+        _exploded(docs, text, F.col("doc_id").alias("hit_id"), F.xxhash64(whole).alias("hit_text")).where(F.col("size") >= min_chars)
         .join(spread, "line_hash", "left_semi")
-        .groupBy(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"))
-        .agg(F.collect_set("pos").alias("_gone"), F.sum("size").alias("_size"), F.count(F.lit(1)).alias("_hits"))
-        # equal rows meet in one group: the size of one of them
-        .select("_doc_id", "_text_hash", "_gone", (F.col("_size") * F.size("_gone") / F.col("_hits")).alias("_size"))
+        .groupBy("hit_id", "hit_text").agg(F.collect_set("pos").alias("gone"))  # equal rows meet in one group, with equal positions
     )
-    whole = common.whole_text(text)
-    every = _lines(whole)
-    total = F.length(F.regexp_replace(whole, "\n", ""))
-    joined = docs.join(hits, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.xxhash64(whole) == F.col("_text_hash")), "left")
-    taken = F.col("_gone").isNotNull() & (F.col("_size") <= most * total)
-    kept = F.array_join(F.filter(every, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    out = {c: F.col(f"`{c}`") for c in docs.columns} | {text: F.when(taken, kept).otherwise(F.col(text))}
-    if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(taken, F.length(kept)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return joined.select(*(v.alias(k) for k, v in out.items()), F.size(every).cast("long").alias("lines_total"),
-                         F.when(taken, F.size("_gone")).otherwise(0).cast("long").alias("lines_removed"))
+    work = common.packed(docs, F.col("doc_id").alias("key"), whole.alias("whole"), F.xxhash64(whole).alias("text_hash"))
+    joined = work.join(hits, F.col("key").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_text")), "left")
+    every = _lines(F.col("whole"))
+    places = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), F.col("gone"))
+    taken = F.col("gone").isNotNull()
+    joined = joined.withColumn("left", F.when(taken, F.array_join(F.transform(places, lambda i: F.get(every, i)), "\n")))
+    out = dict(zip(columns, common.unpacked(columns)))
+    out[text] = F.when(taken, F.col("left")).otherwise(F.col("row").getField(text)).alias(text)
+    if "n_chars" in columns:
+        out["n_chars"] = F.when(taken, F.length("left")).otherwise(F.col("row").getField("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    total, removed = (common.fresh(c, columns) for c in ("lines_total", "lines_removed"))
+    return joined.select(*out.values(), F.size(every).cast("long").alias(total), F.when(taken, F.size("gone")).otherwise(0).cast("long").alias(removed))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,20 +97,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The rows of every document with its lines flagged; also the base of the pipeline's SQL.
 LINES_SQL = f"""
+t AS (SELECT coalesce(text, '') AS text, min(coalesce('s' || source, '')) AS site FROM documents GROUP BY 1),
 l AS (
-  SELECT doc_id, coalesce('s' || source, '') AS site, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
-  FROM documents),
+  SELECT doc_id, t.site, unnest(string_split(t.text, chr(10))) AS line, generate_subscripts(string_split(t.text, chr(10)), 1) AS pos
+  FROM documents d JOIN t ON coalesce(d.text, '') = t.text),
 b AS (
   SELECT trim(line) AS line FROM l WHERE length(trim(line)) >= {MIN_CHARS} GROUP BY 1 HAVING count(DISTINCT site) >= {MIN_SITES}),
 f AS (
   SELECT l.doc_id, l.line, l.pos, b.line IS NOT NULL AS hit FROM l LEFT JOIN b ON trim(l.line) = b.line),
-s AS (
-  SELECT doc_id, sum(CASE WHEN hit THEN length(line) ELSE 0 END) <= {MOST} * sum(length(line)) AS taken FROM f GROUP BY 1),
 k AS (
-  SELECT f.doc_id, count(*) AS lines_total, count(*) FILTER (WHERE hit AND taken) AS lines_removed,
-         coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT (hit AND taken)), '') AS text
-  FROM f JOIN s USING (doc_id) GROUP BY 1)
+  SELECT doc_id, count(*) AS lines_total, count(*) FILTER (WHERE hit) AS lines_removed,
+         coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT hit), '') AS text
+  FROM f GROUP BY 1)
 """
 
 ORACLE_SQL = f"WITH {LINES_SQL} SELECT doc_id, lines_total, lines_removed, length(text) AS n_chars, md5(text) AS text_md5 FROM k"

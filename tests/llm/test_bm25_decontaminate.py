@@ -14,8 +14,8 @@ def index_of(items):
     rows = []
     for i, t in items:
         words = m.words_of(t)
-        rows += [dict(item_id=i, text=t, term=w, tf=n, n_words=len(words), df=df[w]) for w, n in Counter(words).items()]
-    return m._index(rows, len(items), float(np.mean([len(m.words_of(t)) for _, t in items])))
+        rows += [dict(number=i, term=w, tf=n, n_words=len(words), df=df[w]) for w, n in Counter(words).items()]
+    return m._index(rows, {i: (i, t) for i, t in items}, len(items), float(np.mean([len(m.words_of(t)) for _, t in items])))
 
 
 def brute(index, words, threshold):
@@ -41,12 +41,20 @@ def test_wand_finds_all_items_above_the_threshold(seed):
             assert {i for i, _ in got} == want and len(got) == len(want)
             assert all(abs(s - score[i]) < 1e-6 for i, s in got)
     texts = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 400))) for _ in range(20)] + [""]
-    half = index.window // 2
     for text, found in zip(texts, index._promising(texts, 0.5)):
         words = m.words_of(text)
-        for h in range(len(words) // half + 1):
-            if brute(index, set(words[h * half : h * half + index.window]), 0.5)[0]:
+        for h in range(len(words) // index.longest + 1):
+            if brute(index, set(words[h * index.longest : (h + 3) * index.longest]), 0.5)[0]:
                 assert h in found.tolist()
+    rules = m.Rules(0.5, 0.0, 0.0)
+    for text, found in zip(texts, index.matches(texts, rules)):
+        words, want = m.words_of(text), {}
+        for i, n in enumerate(index.n_words):  # every passage of every item
+            scores = [brute(index, set(words[at : at + 2 * n]), 9)[1][i] for at in range(0, len(words), n)]
+            if any(x >= 0.5 - 1e-9 for x in scores):
+                want[i] = (max(scores), sum(x >= 0.5 - 1e-9 for x in scores))
+        assert {i: x[3] for i, x in found.items()} == {i: n for i, (_, n) in want.items()}
+        assert all(abs(found[i][0] - s) < 1e-6 for i, (s, _) in want.items())
 
 
 def test_question_and_answer():
@@ -104,3 +112,27 @@ def test_query_finds_every_exact_passage(spark):
     want = {(d, i.item_id) for d, t in texts.items() for i in items if i.text in t}
     got = {(r.doc_id, r.item_id) for r in m.query(spark, sf).collect()}
     assert want <= got and len(got) <= len(want) + 5
+
+
+def test_a_match_does_not_depend_on_the_other_items(spark, monkeypatch):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(500)]
+    prose = lambda n: " ".join(rng.choices(words, k=n))
+    item, long = (1, f"{prose(18)}? {prose(6)}."), (2, f"{prose(560)}? {prose(40)}.")
+    scattered = " ".join(f"{w} {prose(12)}" for w in item[1].split())  # all of its words, spread over three hundred
+    docs = spark.createDataFrame([(1, f"{prose(100)} {item[1]} {prose(100)}"), (2, scattered), (3, prose(2000)), (4, f"{prose(50)} {long[1]}")], "doc_id long, text string")
+    found = []
+    for items, size in (([item], 1 << 20), ([item, long], 1 << 20), ([item, long], 100)):
+        monkeypatch.setattr(m, "SHARD_BYTES", size)
+        rows = m.matches(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+        found.append(sorted((r.doc_id, r.question_overlap, r.n_passages) for r in rows if r.item_id == 1))
+        assert len(items) == 1 or any(r.doc_id == 4 and r.item_id == 2 for r in rows)
+    assert found[0] == found[1] == found[2] and [f[0] for f in found[0]] == [1]
+
+
+def test_terms_of_a_long_item_carry_no_text(spark):
+    long = " ".join(f"w{i}" for i in range(20_000))
+    rows = spark.createDataFrame([(0, 0, long)], "shard int, number long, text string").mapInArrow(m._item_terms, "shard int, number long, term string, tf int, n_words int")
+    assert rows.count() == 20_000 and rows.columns == ["shard", "number", "term", "tf", "n_words"]
+    docs = spark.createDataFrame([(1, f"before {long} after"), (2, "before after")], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in m.matches(docs, spark.createDataFrame([(5, long)], "item_id long, text string")).collect()] == [(1, 5)]

@@ -6,19 +6,22 @@ HEAD = "shared header line of all sites"
 SCHEMA = "doc_id long, text string, source string, n_chars int, line_hash string, pos int"
 
 
-def brute(rows, min_sites, min_chars=20, most=0.5):
-    sites = defaultdict(set)
+def brute(rows, min_sites, min_chars=20):
+    site_of = {}
     for _, text, source, *_ in rows:
-        for line in (text or "").split("\n"):
+        own = "" if source is None else f"s{source}"
+        site_of[text or ""] = min(own, site_of.get(text or "", own))
+    sites = defaultdict(set)
+    for text, site in site_of.items():
+        for line in text.split("\n"):
             if len(line.strip(" ")) >= min_chars:
-                sites[line.strip(" ")].add(source)
+                sites[line.strip(" ")].add(site)
     wide = {line for line, s in sites.items() if len(s) >= min_sites}
     out = []
     for doc_id, text, *_ in rows:
         lines = (text or "").split("\n")
         hit = [x.strip(" ") in wide for x in lines]
-        taken = any(hit) and sum(len(x) for x, h in zip(lines, hit) if h) <= most * sum(map(len, lines))
-        out.append((doc_id, "\n".join(x for x, h in zip(lines, hit) if not (h and taken)) if taken else text, len(lines), sum(hit) if taken else 0))
+        out.append((doc_id, "\n".join(x for x, h in zip(lines, hit) if not h) if any(hit) else text, len(lines), sum(hit)))
     return out
 
 
@@ -34,7 +37,7 @@ def test_spread_lines_go_and_the_rest_stays(spark):
     out = line_spread.remove_spread_lines(docs, min_sites=4)
     assert out.columns[:6] == docs.columns
     kept = {r.doc_id: r for r in out.collect()}
-    assert kept[0].n_chars == len(kept[0].text) and kept[100].text == HEAD and kept[101].text is None
+    assert kept[0].n_chars == len(kept[0].text) and kept[100].text == "" and kept[101].text is None
 
 
 def test_many_sites_are_counted_as_exactly_as_few(spark):
@@ -46,3 +49,20 @@ def test_many_sites_are_counted_as_exactly_as_few(spark):
 
 def test_empty_table(spark):
     assert line_spread.remove_spread_lines(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_pages_of_mostly_boilerplate_lose_it_and_copied_texts_stay(spark):
+    foot = "a footer line that all of the sites have\nand one more line that they all have"
+    rows = [(i, f"{foot}\nown {i}", f"s{i}", 0, "x", 1) for i in range(9)]
+    rows += [(100 + i, "a whole document that was copied\nfrom one site to all of the others", f"s{i}", 0, "x", 1) for i in range(9)]
+    got = {r.doc_id: (r.text, r.lines_removed) for r in line_spread.remove_spread_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {r[0]: (f"own {r[0]}", 2) if r[0] < 100 else (r[1], 0) for r in rows}
+
+
+def test_columns_of_any_name_pass_through(spark):
+    names = ["doc_id", "text", "source", "gone", "_gone", "_size", "_doc_id", "lines_total", "LINES_removed", "row", "key", "whole", "hit_id", "a.b", "n_chars"]
+    rows = [(i, f"{HEAD}\nown {i}", f"s{i}", *"abcdefghijk", 7) for i in range(9)]
+    schema = ", ".join(f"`{c}` {'long' if c == 'doc_id' else 'int' if c == 'n_chars' else 'string'}" for c in names)
+    out = line_spread.remove_spread_lines(spark.createDataFrame(rows, schema))
+    assert out.columns == [*names, "lines_total_", "lines_removed_"]
+    assert sorted(map(tuple, out.collect())) == [(i, f"own {i}", f"s{i}", *"abcdefghijk", 5, 2, 1) for i in range(9)]
