@@ -51,7 +51,7 @@ REMEMBERED = 1 << 20
 #: Pairs of one node that a task takes.
 FAN = 512
 #: Further rounds of stars, the centres of a list in each, and the share of the pairs probed that must link for another round.
-ROUNDS, CENTRES, WORTH = 6, 4, 0.01
+ROUNDS, CENTRES, WORTH = 2, 8, 0.02
 #: Bins of a set's members, and nodes of a list that a tile takes from each of two blocks.
 BINS, TILE = 256, 1024
 FULL = 255

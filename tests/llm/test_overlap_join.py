@@ -51,7 +51,7 @@ def corpus(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("seed,n,frequent,rounds,tile", [(1, 160, 64, 6, 1024), (2, 300, 8, 6, 1024), (3, 200, 64, 0, 4), (4, 200, 8, 1, 7)])
+@pytest.mark.parametrize("seed,n,frequent,rounds,tile", [(1, 160, 64, 2, 1024), (2, 300, 8, 2, 1024), (3, 200, 64, 0, 4), (4, 200, 8, 1, 7)])
 def test_components_equal_brute_force(spark, monkeypatch, seed, n, frequent, rounds, tile):
     monkeypatch.setattr(j, "FREQUENT", frequent)
     monkeypatch.setattr(j, "ROUNDS", rounds)
