@@ -42,5 +42,7 @@ class Memory(dict):
             if gap:
                 at = iter(gap)
                 looked[i] = [learnt[next(at)] if x is None else x for x in looked[i]]
-        self.update((w, x) for w, x in learnt.items() if len(w) <= self.longest)
+        self.update(learnt)
+        for w in [w for w in new if len(w) > self.longest]:
+            del self[w]
         return looked

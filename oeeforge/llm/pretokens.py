@@ -53,7 +53,7 @@ class Encoder:
         if hasattr(self.model, "_resize_cache"):  # words are remembered here
             self.model._resize_cache(0)
         self.end = {c: self.whole([c])[0] for c in ".,\n"}
-        self.spaced = Memory(self._after_space)  # a word after one space, or with the line feed before it
+        self.spaced = Memory(self._after_space, limit=450_000)  # a word after one space, or with the line feed before it
         self.plain = Memory(self.whole)  # a chunk as it stands
 
     def _bytes(self, ids: list[int]) -> bytes:

@@ -175,16 +175,24 @@ def _write(folder: str, width: int):
 
         system.create_dir(path, recursive=True)
         for batch in batches:
-            for s, key, ids in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "ids"))):
+            dealt = np.asarray(batch.column("shard"))
+            ids = batch.column("ids")
+            ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
+            payload = memoryview(ids.buffers()[2]) if ids.buffers()[2] is not None else memoryview(b"")
+            cuts = np.flatnonzero(dealt[1:] != dealt[:-1]) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(dealt)]):
+                if a == b:
+                    continue
+                s = int(dealt[a])
                 if s != shard:
                     if out is not None:
                         yield close()
                     shard, keys, lengths = s, [], []
                     name = f"shard-{s:05d}-{uuid.uuid4().hex}"
                     out = system.open_output_stream(f"{path}/{name}.ids")
-                out.write(ids)
-                keys.append(key)
-                lengths.append(len(ids) // width)
+                out.write(payload[int(ends[a]) : int(ends[b])])
+                keys += batch.column("doc_id")[a:b].to_pylist()
+                lengths += (np.diff(ends[a : b + 1]) // width).tolist()
         if out is not None:
             yield close()
 
@@ -207,6 +215,16 @@ def write(docs: DataFrame, folder: str | None = None, tokenizer: str | None = No
     return common.stage_table(files.withColumn("folder", F.lit(folder)), "token-manifest")
 
 
+def _runs(index: ShardIndex, rows: int, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of at most so many rows, and of at most ``most`` ids where they have more than one row."""
+    at = 0
+    while at < len(index.keys):
+        begin = int(index.ends[at - 1]) if at else 0
+        to = max(at + 1, min(at + rows, int(np.searchsorted(index.ends, begin + most, side="right"))))
+        yield at, to
+        at = to
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
@@ -214,16 +232,15 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with system.open_input_file(f"{path}/{row['name']}.idx") as f:
                 index = ShardIndex(f.read())
             with system.open_input_file(f"{path}/{row['name']}.ids") as f:
-                for at in range(0, len(index.keys), 512):
-                    to = min(at + 512, len(index.keys))
+                for at, to in _runs(index, 512, 1 << 26):
                     begin, end = index.span(at)[0], index.span(to - 1)[1]
                     f.seek(begin * index.dtype.itemsize)
-                    ids = np.frombuffer(f.read((end - begin) * index.dtype.itemsize), index.dtype)
+                    ids = np.frombuffer(f.read((end - begin) * index.dtype.itemsize), index.dtype).astype("<u4")
                     edges = np.concatenate(([begin], index.ends[at:to]))
-                    own = [ids[a - begin : b - begin] for a, b in zip(edges[:-1], edges[1:])]
                     keys = pa.array(index.keys[at:to], mask=np.arange(at, to) < index.nulls)
-                    yield pa.record_batch([keys, pa.array(edges[:-1] + row["base"]), pa.array([x.astype("<u4").tobytes() for x in own], pa.binary())],
-                                          ["doc_id", "start", "ids"])
+                    places = pa.py_buffer((4 * (edges - begin)).astype(np.int32).tobytes())
+                    own = pa.Array.from_buffers(pa.binary(), to - at, [None, places, pa.py_buffer(ids.tobytes())])
+                    yield pa.record_batch([keys, pa.array(edges[:-1] + row["base"]), own], ["doc_id", "start", "ids"])
 
 
 def read(manifest: DataFrame) -> DataFrame:
