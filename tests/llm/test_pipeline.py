@@ -32,13 +32,31 @@ def test_stages_keep_the_columns_and_take_effect(spark):
     assert len(last) == docs.count() and all(r.same_text for r in last)
 
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars", "_kept", "_place", "keep", "lines_total", "row", "members", "kept_id"]
+
+
+def frame(spark, rows):
+    extra = [7, "p", "k", 1, "r", "m", "i"]
+    return spark.createDataFrame([(*r, *extra) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, _kept int, "
+                                 "_place string, keep string, lines_total int, row string, members string, kept_id string")
+
+
 def test_nulls_repeats_and_extra_columns(spark):
-    rows = [(1, "some text that stands here twice", "en", "s", 32, 7), (1, "some text that stands here twice", "en", "s", 32, 7), (2, None, None, None, None, 7), (3, "", "en", "s", 0, 7),
-            (None, "text without id", "en", "s", 15, 7), (4, "Some text that\tstands here twice", "en", "s", 32, 7)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _kept int")
-    sf = "/root/testdata/sf0.001"
+    rows = [(1, "some text that stands here twice", "en", "s", 32), (1, "some text that stands here twice", "en", "s", 32), (2, None, None, None, None), (3, "", "en", "s", 0),
+            (None, "text without id", "en", "s", 15), (4, "Some text that\tstands here twice", "en", "s", 32), (5, "long " * 30_000, "en", None, None)]
+    docs, sf = frame(spark, rows), "/root/testdata/sf0.001"
+    quality = common.stage_table(corpus_pipeline.STAGES[0][1](spark, docs, sf), "test-stage")
+    assert quality.columns == COLUMNS and {tuple(r)[5:] for r in quality.collect()} <= {(7, "p", "k", 1, "r", "m", "i")}
     for _, stage in corpus_pipeline.STAGES[1:-1]:
         docs = common.stage_table(stage(spark, docs, sf), "test-stage")
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "_kept"]
-    assert sorted(str(r.doc_id) for r in docs.collect()) == ["1", "2", "3", "None"]
-    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == 4
+        assert docs.columns == COLUMNS and {tuple(r)[5:] for r in docs.collect()} == {(7, "p", "k", 1, "r", "m", "i")}
+    assert sorted(str(r.doc_id) for r in docs.collect()) == ["1", "2", "3", "5", "None"]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == 5
+
+
+def test_empty_table(spark):
+    docs = frame(spark, [])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.stage_table(stage(spark, docs, "/root/testdata/sf0.001"), "test-stage")
+        assert docs.columns == COLUMNS and docs.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001").count() == 0
