@@ -12,27 +12,32 @@ through; empty tables give empty results.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from oeeforge.llm import bm25_decontaminate, common, cotrain_quality, line_spread, overlap_join, piece_codec
 
 
+def _columns(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = cotrain_quality.fit(docs, common.table(spark, sf_dir, "labels"))
-    return cotrain_quality.classify(docs, model).where("keep").select(*docs.columns)
+    scored = cotrain_quality.fit_and_classify(docs, common.table(spark, sf_dir, "labels"))
+    return scored.where(F.col(cotrain_quality.added(docs.columns)["keep"])).select(*_columns(docs))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_spread.remove_spread_lines(docs).select(*docs.columns)
+    return line_spread.remove_spread_lines(docs).select(*_columns(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps a component's least doc_id. Rows that share that id are few (their number does not grow with the component)."""
-    kept = overlap_join.join(docs).where(F.col("component_id") == F.col("doc_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    own = docs.where(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    key, place = (common.fresh(c, docs.columns) for c in ("kept_id", "place"))
+    kept = overlap_join.join(docs).where("component_id = doc_id").select(F.col("doc_id").alias(key)).distinct()
+    own = docs.where(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id") == F.col(key), "left_semi")
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64(common.whole_text()))
-    own = own.withColumn("_place", F.row_number().over(first)).where("_place = 1").drop("_place")
+    own = own.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).select(*_columns(docs))
     return own.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
@@ -52,7 +57,7 @@ STAGES = [
     ("sentencepiece encoding", encoding),
 ]
 
-#: Classifier, joins by likeness and encoding are not expressed in SQL; tests hold the stages against brute force.
+#: Classifier, joins by likeness and encoding are not expressed in SQL; tests hold the stages' results against plain Python on a small table.
 ORACLE_SQL = None
 
 
