@@ -103,15 +103,16 @@ def _analysis(spark, path) -> DataFrame:
 
 def cmd_analyze(spark, a) -> int:
     m = A.with_conclusions(A.couple_metrics(_analysis(spark, a.history), DEFAULT.analytics), DEFAULT.analytics)
-    sinks.write_metrics_report(A.worst_first(m), a.out)
+    sinks.write_metrics_report(A.ranked_metrics(m), a.out)
     return 0
 
 
 def cmd_anomalies(spark, a) -> int:
     h = _analysis(spark, a.history)
     ex = DEFAULT.analytics.exclude_bloquant
-    out = O.with_outlier_message(O.zscore_outliers(h, DEFAULT.anomalies, ex))
-    sinks.write_outlier_report(out, O.short_history(h, DEFAULT.anomalies, ex), a.out)
+    out = materialize(O.zscore_outliers(h, DEFAULT.anomalies, ex), "outliers")
+    O.with_outlier_message(O.top_outliers(out)).select("message").show(truncate=False)
+    sinks.write_outlier_report(O.ranked_outliers(O.with_outlier_message(out)), O.short_history(h, DEFAULT.anomalies, ex), a.out)
     return 0
 
 
@@ -119,7 +120,7 @@ def cmd_recommend(spark, a) -> int:
     h = _analysis(spark, a.history)
     ex = DEFAULT.analytics.exclude_bloquant
     recs = R.recommendations(h, O.zscore_outliers(h, DEFAULT.anomalies, ex), DEFAULT.recommendation, ex)
-    sinks.write_recommendation_report(R.report_order(R.with_justification(recs, DEFAULT.recommendation)), a.out)
+    sinks.write_recommendation_report(R.report_values(R.with_justification(recs, DEFAULT.recommendation)), a.out)
     return 0
 
 
@@ -144,7 +145,8 @@ def cmd_train(spark, a) -> int:
     tables = M.leaf_tables(spark, a.model, model)
     labels = M.labels_frame(spark, model, train)
     attr = M.attributions(model, train, tables)
-    examples = M.top_contributions(M.attributions(model, train.orderBy("code_of", "machine").limit(3), tables), labels)
+    shown = M.predict_with_interval(model, train.orderBy("code_of", "machine").limit(3), tables).drop("prediction", "tree_mean")
+    examples = M.top_contributions(M.attributions(model, shown, tables), labels)
     sinks.write_ml_report(cv, M.global_importance(attr, labels), examples, a.out)
     return 0
 

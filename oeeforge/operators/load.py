@@ -65,6 +65,11 @@ def rows_to_insert(history_rows: DataFrame, stored_keys: DataFrame | None) -> Da
     return new_rows(first_per_key(valid), stored_keys)
 
 
+def rejected_rows(history_rows: DataFrame) -> DataFrame:
+    """The rows of a NULL key, which are kept apart (quarantine) instead of stored."""
+    return history_rows.filter(null_key(history_rows))
+
+
 def import_audit(checked: DataFrame, inserted: DataFrame, structural: DataFrame | None = None) -> DataFrame:
     """Per source file, row counts and findings per severity (findings, not rows).
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from oeeforge import schema as S
 from oeeforge.config import AnalyticsConfig, AnomalyConfig
 from oeeforge.functions.columns import blocked, exact_mean, non_null_array, not_blocked, safe_div
+from oeeforge.operators.row_index import with_rank
 
 MEAN_COLUMNS = {
     "cadence_theorique_moy": "cadence_theorique",
@@ -70,6 +71,11 @@ def worst_first(metrics: DataFrame) -> DataFrame:
     return metrics.orderBy(F.col("trs_moy").asc_nulls_last(), "produit", "machine")
 
 
+def ranked_metrics(metrics: DataFrame) -> DataFrame:
+    """A4 as a column: rank 1 is the worst OEE mean, couples without one come last."""
+    return with_rank(metrics, [F.col("trs_moy").isNull(), F.col("trs_moy"), F.col("produit"), F.col("machine")])
+
+
 # Conclusion codes (A5), in emission order.
 LIMITED_HISTORY = "LIMITED_HISTORY"
 EXCLUDED_BLOCKING = "EXCLUDED_BLOCKING"
@@ -132,11 +138,6 @@ def machine_stability(history: DataFrame, anomaly_cfg: AnomalyConfig | None = No
     )
 
 
-def ranked_stability(stability: DataFrame) -> DataFrame:
-    """A6 order: CV ascending, ties by machine (the ranking is small: one row per machine)."""
-    return stability.orderBy("coefficient_variation_pct", "machine")
-
-
 def unevaluated_machines(history: DataFrame, stability: DataFrame) -> DataFrame:
     """Distinct machines of all rows minus ranked machines (one row, one pass)."""
     tagged = history.select("machine", F.lit(False).alias("_ranked")).unionByName(
@@ -155,10 +156,3 @@ def dimension_summary(history: DataFrame) -> DataFrame:
         F.count_distinct("produit").alias("n_produits"),
         F.count_distinct("machine").alias("n_machines"),
     )
-
-
-def global_mean_of_couples(metrics: DataFrame) -> DataFrame:
-    """Unweighted mean of the couples' OEE means."""
-    return metrics.filter(F.col("trs_moy").isNotNull()).agg(
-        F.count(F.lit(1)).alias("n_couples"), exact_mean("trs_moy").alias("trs_moyen_global")
-    )

@@ -23,7 +23,7 @@ shared scratch folder (``spark.checkpoint.dir``), and both branches read it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oeeforge.functions.joins import broadcast_if_small
@@ -60,3 +60,11 @@ def with_file_row_index(
         *[F.col(c) for c in df.columns],
         (F.col("_rb_base") + F.col("_ri_mid") - F.col("_rb_first")).cast("long").alias(out_col),
     )
+
+
+def with_rank(df: DataFrame, keys: list[Column], out_col: str = "rank") -> DataFrame:
+    """1-based rank of every row by ``keys`` (a total order), without sorting the table in one task."""
+    names = [f"_rank_key_{i}" for i in range(len(keys))]
+    keyed = df.withColumns(dict(zip(names, keys)) | {"_rank_of": F.lit("all")})
+    ranked = with_file_row_index(keyed, "_rank_of", names, "_rank")
+    return ranked.select(*df.columns, (F.col("_rank") + 1).alias(out_col))

@@ -7,6 +7,7 @@
 2. stored keys = the history without this batch's partition (so a retry of
    the same ``batch_id`` recomputes the same rows and overwrites them);
 3. L1 + L3 + L2, then write the ``batch_id`` partition (dynamic overwrite);
+   Rows of a NULL key go to the quarantine table beside the history instead, under the same ``batch_id``;
 4. L5 audit from the staged rows and the *written* partition (no recompute),
    written to the import log under the same ``batch_id``.
 
@@ -29,14 +30,21 @@ from oeeforge.plans.jobs import materialize
 from oeeforge.sources import history as H
 
 
+def quarantine_path(history_path: str) -> str:
+    """The table of rejected rows beside a history."""
+    return f"{history_path.rstrip('/')}_rejected"
+
+
 def load(spark: SparkSession, staged: DataFrame, history_path: str, log_path: str, batch_id: str,
          cfg: AppConfig = DEFAULT, structural: DataFrame | None = None) -> DataFrame:
     checked = materialize(Q.check_rows(staged, cfg.quality))
     stored = H.stored_keys(H.read_history(spark, history_path), exclude_batch=batch_id) \
         if H.exists(spark, history_path) else None
     # staged: the write replaces files that the anti-join reads, and an empty result clears its partition
-    rows = materialize(L.rows_to_insert(L.to_history(checked, batch_id), stored).select(*S.HISTORY_COLUMNS), "new-rows")
+    candidates = L.to_history(checked, batch_id)
+    rows = materialize(L.rows_to_insert(candidates, stored).select(*S.HISTORY_COLUMNS), "new-rows")
     sinks.write_partition(rows, history_path, value=batch_id)
+    sinks.write_partition(L.rejected_rows(candidates).select(*S.HISTORY_COLUMNS), quarantine_path(history_path), value=batch_id)
     written = H.read_history(spark, history_path).filter(F.col("batch_id") == F.lit(batch_id))
     audit = L.import_audit(checked, written, structural).select(
         "source_file", F.current_timestamp().alias("imported_at"), "n_rows_extracted", "n_rows_inserted",

@@ -411,7 +411,7 @@ def _intent_case(text: str) -> str:
     return f"CASE {whens} ELSE 'UNKNOWN' END"
 
 
-_LABEL = "lower(trim(regexp_replace(produit, '\\\\[[^\\\\]]+\\\\]', '', 'g'), ' -'))"
+_LABEL = r"lower(trim(regexp_replace(produit, '\[[^\]]+\]', '', 'g'), ' -'))"
 
 
 def _parts(text: str, keys: str, key: str) -> str:
@@ -553,3 +553,30 @@ FROM hist WHERE {_NB} AND produit IS NOT NULL AND machine IS NOT NULL AND atelie
   AND cadence_theorique IS NOT NULL AND qte_produite IS NOT NULL AND cadence_reelle IS NOT NULL"""
     ),
 })
+
+
+# --- report values and ranks --------------------------------------------------------
+def _r(expr: str, digits: int) -> str:
+    k = f"{10 ** digits}.0e0"
+    return f"(floor(({expr}) * {k} + 0.5e0) / {k})"
+
+
+_Z_ORDER = "floor(abs(z_score) * 1000000.0e0 + 0.5e0) DESC, code_of, machine, metric"
+_AUDIT_SUMS = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in (
+    "n_rows_extracted", "n_rows_inserted", "n_rows_skipped_duplicate", "n_rows_rejected_null_key", "n_bloquant", "n_avertissement", "n_info"))
+
+ORACLE.update({
+    "import_log_totals": f"SELECT source_file, {_AUDIT_SUMS} FROM ({ORACLE['import_log']}) GROUP BY ROLLUP (source_file)",
+    "couple_ranking": with_base(
+        f"""SELECT row_number() OVER (ORDER BY trs_moy ASC NULLS LAST, produit, machine) AS rank, produit, machine, n_of, {r4("trs_moy")} AS trs_moy
+FROM metrics""", _METRICS),
+    "outlier_ranking": with_base(
+        f"""SELECT code_of, produit, machine, metric, {_r("value", 2)} AS value, {_r("group_mean", 2)} AS group_mean, {_r("group_std", 2)} AS group_std,
+  {_r("z_score", 2)} AS z_score, row_number() OVER (ORDER BY {_Z_ORDER}) AS rank FROM outl""", _WORK),
+    "top_outliers": with_base(f"SELECT code_of, produit, machine, metric FROM outl ORDER BY {_Z_ORDER} LIMIT 5", _WORK),
+    "recommendation_report": with_base(
+        f"""SELECT produit, machine, fiable, n_of_disponibles, n_of_utilises, n_of_reference, {_r("cadence_theorique_actuelle", 2)} AS cadence_theorique_actuelle,
+  {_r("cadence_recommandee", 2)} AS cadence_recommandee, {_r("trs_moyen_reference", 2)} AS trs_moyen_reference,
+  {_r("ecart_vs_theorique_pct", 1)} AS ecart_vs_theorique_pct, justification_code,
+  row_number() OVER (ORDER BY fiable, produit, machine) AS rank FROM recs3""", _RECS),
+})

@@ -104,6 +104,32 @@ def import_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.import_audit(checked, inserted)
 
 
+def import_log_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit with its grand total (source_file NULL)."""
+    return L.audit_totals(import_log(spark, sf_dir))
+
+
+def couple_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4: the couples by OEE mean, worst first."""
+    ranked = A.ranked_metrics(A.couple_metrics(jobs.analysis_view(spark, sf_dir), DEFAULT.analytics))
+    return round_doubles(ranked.select("rank", *S.COUPLE, "n_of", "trs_moy"))
+
+
+def outlier_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O3: the outliers in report order."""
+    return O.ranked_outliers(jobs.materialize(jobs.outliers_of(jobs.analysis_view(spark, sf_dir)), "outliers"))
+
+
+def top_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O3: the console's five."""
+    return O.top_outliers(jobs.outliers_of(jobs.analysis_view(spark, sf_dir))).select("code_of", *S.COUPLE, "metric")
+
+
+def recommendation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recommendations as the report shows them."""
+    return R.report_values(_recommendations(spark, sf_dir)).drop("justification")
+
+
 def machine_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(A.machine_stability(jobs.analysis_view(spark, sf_dir), DEFAULT.anomalies))
 
@@ -273,6 +299,11 @@ def rf_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.cross_validate(train, DEFAULT.ml)
 
 
+def rf_cv_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5's result: mean and population deviation of R2 and MAE over the folds."""
+    return M.cv_summary(rf_cv(spark, sf_dir))
+
+
 def rf_predict_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, tables = _model(spark, sf_dir)
     train = M.training_set(jobs.analysis_view(spark, sf_dir))
@@ -318,8 +349,10 @@ def registry() -> dict[str, Query]:
         "load_dedup": load_dedup,
         "load_incremental": load_incremental,
         "import_log": import_log,
+        "import_log_totals": import_log_totals,
         "couple_metrics": couple_metrics,
         "conclusions": conclusions,
+        "couple_ranking": couple_ranking,
         "machine_stability": machine_stability,
         "stability_summary": stability_summary,
         "dimension_summary": dimension_summary,
@@ -329,8 +362,11 @@ def registry() -> dict[str, Query]:
         "zscore_outliers": zscore_outliers,
         "short_history": short_history,
         "outlier_couples": outlier_couples,
+        "outlier_ranking": outlier_ranking,
+        "top_outliers": top_outliers,
         "recommendations": recommendations,
         "reliability_counts": reliability_counts,
+        "recommendation_report": recommendation_report,
         "intent_counts": intent_counts,
         "product_index": product_index,
         "entity_resolution": entity_resolution,
@@ -345,6 +381,7 @@ def registry() -> dict[str, Query]:
         "answers": answers,
         "training_set": training_set,
         "rf_cv": rf_cv,
+        "rf_cv_summary": rf_cv_summary,
         "rf_predict_interval": rf_predict_interval,
         "rf_attribution": rf_attribution,
         "rf_importance": rf_importance,

@@ -28,8 +28,10 @@ def write_quality_report(findings: DataFrame, counts: DataFrame, path: str) -> s
 
 
 def write_metrics_report(metrics: DataFrame, path: str) -> str:
-    """K2: couple metrics with their conclusions."""
-    return write_json(metrics, path)
+    """K2: couple metrics with their conclusions, and how many couples there are."""
+    write_json(metrics, f"{path}/metrics")
+    write_json(metrics.agg(F.count(F.lit(1)).alias("n_couples")), f"{path}/summary")
+    return path
 
 
 def write_outlier_report(outliers: DataFrame, short: DataFrame, path: str) -> str:
@@ -43,12 +45,12 @@ def write_outlier_report(outliers: DataFrame, short: DataFrame, path: str) -> st
 
 
 def write_recommendation_report(recs: DataFrame, path: str) -> str:
-    """K4."""
+    """K4: the recommendations as the report shows them (``recommend.report_values``)."""
     return write_json(recs, path)
 
 
 def write_ml_report(cv: DataFrame, importance: DataFrame, examples: DataFrame, path: str) -> str:
-    """K5: CV scores, global importance, explained example predictions."""
+    """K5: CV scores, global importance, example predictions with their intervals and explanations."""
     write_json(cv, f"{path}/cv")
     write_json(importance, f"{path}/importance")
     write_json(examples, f"{path}/examples")

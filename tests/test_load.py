@@ -113,3 +113,17 @@ def test_missing_column_is_reported_per_file(spark, tmpdir_path):
     pq.write_table(pa.Table.from_pandas(pd.DataFrame(partial)), f"{folder}/partial.parquet")
     f = Q.structural_findings(X.file_columns(spark, folder, "parquet")).collect()
     assert [(r.source_file, r.column) for r in f] == [("partial.parquet", "TRS (%)")]
+
+
+def test_rows_of_a_null_key_are_kept_in_quarantine(spark, tmpdir_path):
+    from conftest import rows_frame
+
+    rows = [{"code_of": "a", "machine": "m"}, {"code_of": None, "machine": "m", "trs_pct": 40.0}, {"code_of": "b", "machine": None}, {"code_of": "c", "machine": "m"}]
+    staged = rows_frame(spark, rows)
+    hist, log = f"{tmpdir_path}/history", f"{tmpdir_path}/log"
+    for batch in ("b1", "b1", "b2"):  # a retry rewrites its rows, another batch has its own
+        audit = load_job.load(spark, staged, hist, log, batch).collect()
+        assert [(r.n_rows_rejected_null_key, r.n_rows_extracted) for r in audit] == [(2, 4)]
+    kept = spark.read.schema(S.HISTORY_SCHEMA).parquet(load_job.quarantine_path(hist)).collect()
+    assert sorted((r.batch_id, r.row_index, r.trs_pct) for r in kept) == sorted((b, i, t) for b in ("b1", "b2") for i, t in ((1, 40.0), (2, None)))
+    assert H.read_history(spark, hist).count() == 2
