@@ -12,7 +12,7 @@ link when 100 * overlap >= 75 * union, so a partner holds at least T = ceil(0.75
 3. On a list, every node is paired with the list's first node of a size it can link with (a star: as many pairs as nodes).
    Pairs whose short lists leave too few members for T are dropped; of the others the long lists are probed by binary
    search in the sorted sets, and linked nodes are joined to components.
-4. Lists on which nodes of different components remain (one of those that hold the same nodes) get further stars, round by round,
+4. Lists on which nodes of different components remain (one of those that hold the same nodes) get further stars
    with a few other centres: the first nodes of the list in an order that changes with the round and is the same on all lists,
    so lists of one group of near copies share their centres. A round costs a few pairs per node; a group of near copies
    falls together after some, and nodes of the own component are no partners any more. Rounds end when they join little.
@@ -51,9 +51,11 @@ REMEMBERED = 1 << 20
 #: Pairs of one node that a task takes.
 FAN = 512
 #: Further rounds of stars, the centres of a list in each, and the share of the pairs probed that must link for another round.
-ROUNDS, CENTRES, WORTH = 2, 8, 0.02
+ROUNDS, CENTRES, WORTH = 1, 8, 0.02
 #: Bins of a set's members, and nodes of a list that a tile takes from each of two blocks.
 BINS, TILE = 256, 1024
+#: Tasks over which the lists of one first node are spread.
+SALTS = 8
 FULL = 255
 SLICE = 1 << 20
 
@@ -432,6 +434,9 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def likely(pairs: DataFrame, shorts: DataFrame) -> DataFrame:
     """The pairs (a, b, lists) whose short lists allow a link, before any long one is probed."""
+    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    marks = pairs.sparkSession.sparkContext.broadcast(np.packbits(_marked(need, "node")))
+    shorts = shorts.select("node", "size", "short").mapInArrow(_wanted(marks), "node long, size long, short binary")
     of = lambda k: shorts.select(F.col("node").alias(k), F.col("size").alias(f"size_{k}"), F.col("short").alias(f"short_{k}"))
     return pairs.select("a", "b", "lists").join(of("a"), "a").join(of("b"), "b").mapInArrow(_possible, "a long, b long, lists long")
 
@@ -536,15 +541,8 @@ def join(docs: DataFrame) -> DataFrame:
     stars = stage(stars.where("NOT bridge"), "stars")
     shorts = stage(own.mapInArrow(_shorts(marks), "node long, size long, short binary, sketch binary").dropDuplicates(["node"]), "short-arrays")
     close = stage(likely(stars, shorts), "close-pairs")
-    # first each node with the centre it meets most; then, with other centres, those that this has not joined
-    best = close.groupBy("b").agg(F.max_by("a", F.struct("lists", "a")).alias("a")).select("a", "b")
-    found = verify(best, own, stage)
+    found = verify(close, own, stage)
     labels = components(found)
-    apart = _apart(close, labels).join(best, ["a", "b"], "left_anti").select("a", "b")
-    more = verify(apart, own, stage)
-    if not more.isEmpty():
-        found = found.unionByName(more)
-        labels = components(found)
     tested = _ordered(stars)
     open_lists = stage(_open_lists(lists.where(~F.col("bridge")).select("member", "node", "n"), labels, shorts), "open-lists")
     stage.drop(lists, close)
@@ -565,8 +563,9 @@ def join(docs: DataFrame) -> DataFrame:
             open_lists = after
         if linked <= WORTH * n_probed:
             break
-    cross = _tiles(open_lists).repartition(common.partitions(spark), "member", "high", "wide").sortWithinPartitions("member", "high", "wide")
-    cross = cross.mapInArrow(_cross, "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
+    # lists with the same first node hold much the same nodes: few tasks see a pair, and each gives it out once
+    cross = _tiles(open_lists).repartition(common.partitions(spark), "first", "salt", "high", "wide").sortWithinPartitions("member", "high", "wide")
+    cross = stage(cross.mapInArrow(_cross, "a long, b long").distinct().join(tested, ["a", "b"], "left_anti"), "cross-pairs")
     last = verify(likely(cross.withColumn("lists", F.lit(1).cast("long")), shorts), own, stage)
     if not last.isEmpty():
         labels = components(found.unionByName(last))
@@ -606,18 +605,12 @@ def _open_lists(lists: DataFrame, labels: DataFrame, shorts: DataFrame) -> DataF
 
 def _tiles(open_lists: DataFrame) -> DataFrame:
     """The rows of the open lists dealt to tiles: a list of up to TILE nodes is one, a longer one a grid of blocks."""
-    blocks = open_lists.groupBy("member").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"))
-    rows = open_lists.join(blocks, "member")
+    first = F.min_by("node", F.xxhash64("node", F.lit("first"))).alias("first")
+    blocks = open_lists.groupBy("member").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"), first)
+    rows = open_lists.join(blocks, "member").withColumn("salt", F.pmod(F.xxhash64("member", F.lit("salt")), F.lit(SALTS)).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select("member", F.least("block", "other").alias("high"), F.greatest("block", "other").alias("wide"), "block", "node", "n", "comp", "sketch")
-
-
-def _apart(stars: DataFrame, labels: DataFrame) -> DataFrame:
-    """The star pairs whose nodes are not yet in one component."""
-    left, right = labels.toDF("_a", "_ca"), labels.toDF("_b", "_cb")
-    both = stars.join(left, F.col("a") == F.col("_a"), "left").join(right, F.col("b") == F.col("_b"), "left")
-    return both.where(F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).select(*stars.columns)
+    return rows.select("first", "salt", "member", F.least("block", "other").alias("high"), F.greatest("block", "other").alias("wide"), "block", "node", "n", "comp", "sketch")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
