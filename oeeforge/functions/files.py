@@ -26,6 +26,12 @@ def list_files(spark: SparkSession, folder: str) -> list[tuple[str, str, int]]:
     return sorted(f for f in files if not f[0].startswith((".", "_")))
 
 
+def data_version(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(name, bytes, time of change) of a file, or of the files directly in a folder, by name."""
+    found, system = _hadoop_path(spark, path)
+    return sorted((s.getPath().getName(), int(s.getLen()), int(s.getModificationTime())) for s in system.listStatus(found) if s.isFile())
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     found, system = _hadoop_path(spark, path)
     system.delete(found, True)

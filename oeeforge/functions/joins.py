@@ -1,22 +1,16 @@
-"""Size-checked broadcast.
+"""A small side of a join, staged so that its size is known.
 
-``broadcast_if_small`` stages a small side once (a Parquet stage table in the
-shared scratch folder), counts it, and hints a broadcast only under a row
-bound; above it the plain join stays (shuffle join, AQE skew splitting). This
-keeps the big side from being shuffled just to meet a side that turns out to
-be tiny (AQE alone only converts after both shuffles were submitted).
+``staged_side`` writes a side that is expected to be small as a Parquet stage table. Its files' bytes are then the planner's
+estimate, so Spark sends it to the tasks if they are below ``spark.sql.autoBroadcastJoinThreshold`` and joins by
+shuffle (with AQE's skew splitting) if not. No side is broadcast on a guess.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from oeeforge.session import materialize
 
-MAX_BROADCAST_ROWS = 2_000_000
 
-
-def broadcast_if_small(small: DataFrame, name: str, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    staged = materialize(small, name)
-    return F.broadcast(staged) if staged.count() <= max_rows else staged
+def staged_side(small: DataFrame, name: str) -> DataFrame:
+    return materialize(small, name)

@@ -5,8 +5,6 @@
   Columns are unpivoted to (column, value) once; distinct values are found
   with a partial-aggregated ``groupBy`` and the five samples with a
   ``row_number() <= 5`` top-k (partial WindowGroupLimit before the shuffle).
-  ``exact=False`` switches to one pass of ``approx_count_distinct`` (no
-  unpivot) for very large folders.
 * P2 candidate dimensions: 0 < n_unique <= threshold.
 * P3 ``formula_audit``: per formula, bad rows / rows / share, one pass of
   conditional counts; ``formula_examples`` keeps the first five bad rows.
@@ -21,6 +19,8 @@ from pyspark.sql import functions as F
 
 from oeeforge import schema as S
 from oeeforge.config import ProfileConfig, QualityConfig
+from oeeforge.functions.joins import staged_side
+from oeeforge.operators.row_index import with_rank
 
 
 def _order() -> Column:
@@ -28,23 +28,20 @@ def _order() -> Column:
 
 
 def _with_order_key(staged: DataFrame) -> DataFrame:
-    """``_o`` = file rank * 2^32 + row index: the (file, row) order as one BIGINT.
+    """``_o`` = file rank * 2^40 + row index: the (file, row) order as one BIGINT (8 million files of a million million rows).
 
     A fixed-width key lets the first-seen ``min`` run as a hash aggregate
     (a struct with a string needs a sort aggregate). The file ranks come from
     the distinct file names: one row per file, broadcast after a size check.
     """
-    from oeeforge.functions.joins import broadcast_if_small
-
     files = staged.select(F.col(S.SOURCE_FILE).alias("_f")).distinct()
-    ranks = files.withColumn("_fr", F.dense_rank().over(Window.orderBy("_f")).cast("long"))
-    ranks = broadcast_if_small(ranks, "file-ranks")
+    ranks = with_rank(files, [F.col("_f")], "_fr")
+    ranks = staged_side(ranks, "file-ranks")
     keyed = staged.join(ranks, F.col(S.SOURCE_FILE).eqNullSafe(F.col("_f")), "left")
-    return keyed.withColumn("_o", F.shiftleft(F.coalesce("_fr", F.lit(0).cast("long")), 32) + F.col(S.ROW_INDEX).cast("long"))
+    return keyed.withColumn("_o", F.shiftleft(F.coalesce("_fr", F.lit(0).cast("long")), 40) + F.col(S.ROW_INDEX).cast("long"))
 
 
-def column_profile(staged: DataFrame, columns: list[str] | None = None, cfg: ProfileConfig | None = None,
-                   exact: bool = True) -> DataFrame:
+def column_profile(staged: DataFrame, columns: list[str] | None = None, cfg: ProfileConfig | None = None) -> DataFrame:
     cfg = cfg or ProfileConfig()
     columns = columns or [c for c in staged.columns if c != S.ROW_INDEX]
     dtypes = dict((f.name, f.dataType.simpleString()) for f in staged.schema.fields)
@@ -52,20 +49,6 @@ def column_profile(staged: DataFrame, columns: list[str] | None = None, cfg: Pro
         F.struct(F.lit(i).alias("pos"), F.lit(c).alias("column"), F.lit(dtypes[c]).alias("dtype"))
         for i, c in enumerate(columns)
     ])
-    if not exact:
-        one = staged.agg(
-            F.count(F.lit(1)).alias("_n"),
-            *[F.count_if(F.col(c).isNull()).alias(f"_m{i}") for i, c in enumerate(columns)],
-            *[F.approx_count_distinct(c).alias(f"_u{i}") for i, c in enumerate(columns)],
-        )
-        rows = F.array(*[
-            F.struct(F.lit(i).alias("pos"), F.lit(c).alias("column"), F.lit(dtypes[c]).alias("dtype"),
-                     F.col(f"_m{i}").alias("n_missing"), F.col(f"_u{i}").alias("n_unique"), F.col("_n").alias("n_total"))
-            for i, c in enumerate(columns)
-        ])
-        out = one.select(F.inline(rows)).withColumn("sample_values", F.lit(None).cast("string"))
-        return _finish(out, cfg)
-
     # unpivot: (order, pos, value as text); NULLs kept for the missing count
     cells = F.array(*[
         F.struct(F.lit(i).alias("pos"), F.col(c).cast("string").alias("value")) for i, c in enumerate(columns)

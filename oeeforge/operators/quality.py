@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from oeeforge import schema as S
 from oeeforge.config import QualityConfig
 from oeeforge.functions.columns import non_null_array, severity_of_rank, severity_rank
-from oeeforge.functions.joins import broadcast_if_small
+from oeeforge.functions.joins import staged_side
 
 
 def _num_str(c: Column) -> Column:
@@ -87,8 +87,8 @@ def _temps_net(cfg: QualityConfig) -> list[Column]:
 
 def _ecart(cfg: QualityConfig) -> list[Column]:
     theo = F.col("cadence_theorique")
-    computed = (F.col("cadence_reelle") - theo) / theo * F.lit(100.0)
-    # theo = 0 is skipped (no division); a NULL theo gives a NULL gap -> no finding.
+    computed = F.try_divide(F.col("cadence_reelle") - theo, theo) * F.lit(100.0)
+    # theo = 0 is skipped; a NULL theo gives a NULL gap -> no finding.
     return [_formula(S.RULE_ECART, "ecart_pct", computed, cfg.tol_ecart, guard=~(theo == 0))]
 
 
@@ -179,7 +179,7 @@ def mark_duplicate_keys(staged: DataFrame) -> DataFrame:
         .withColumn("_dk_flag", F.lit(True))
         .drop("_dk_n")
     )
-    dups = broadcast_if_small(dups, "duplicate-keys")
+    dups = staged_side(dups, "duplicate-keys")
     cond = None
     for k in keys:
         c = F.col(k).eqNullSafe(F.col(f"_dk_{k}"))

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from oeeforge.functions.joins import broadcast_if_small
+from oeeforge.functions.joins import staged_side
 from oeeforge.session import materialize
 
 
@@ -54,7 +54,7 @@ def with_file_row_index(
     )
     before = Window.partitionBy("_rb_file").orderBy("_rb_pid").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_rb_base", F.coalesce(F.sum("_rb_n").over(before), F.lit(0)))
-    blocks = broadcast_if_small(blocks, "row-index-blocks")  # at most #ranges + #files rows
+    blocks = staged_side(blocks, "row-index-blocks")  # at most #ranges + #files rows
     cond = (F.col("_ri_pid") == F.col("_rb_pid")) & F.col(file_col).eqNullSafe(F.col("_rb_file"))
     return ranged.join(blocks, cond).select(
         *[F.col(c) for c in df.columns],

@@ -275,20 +275,20 @@ _MODELS: dict[str, tuple] = {}
 def _model(spark: SparkSession, sf_dir: str):
     """Train once per (data, config), save in the checkpoint folder, load lazily (M6/M7)."""
     import hashlib
-    import os
 
+    from oeeforge.functions.files import data_version, path_exists
     from oeeforge.session import scratch_dir
 
-    key = hashlib.sha1(f"{os.path.abspath(sf_dir)}|{DEFAULT.ml}".encode()).hexdigest()[:16]
+    # the tables' files, their sizes and times stand for the data: new data under the same path is another model
+    tables = [t for name in ("lineitem", "part") for t in data_version(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")]
+    key = hashlib.sha1(f"{tables}|{DEFAULT.ml}".encode()).hexdigest()[:16]
     path = scratch_dir(spark, f"models/rf-{key}")
     if path not in _MODELS:
-        try:
-            model = M.load_model(path)
-        except Exception:  # not trained yet
+        if not path_exists(spark, path):
             train = M.training_set(jobs.analysis_view(spark, sf_dir))
             M.check_min_rows(train, DEFAULT.ml)
             M.save_model(M.fit(train, DEFAULT.ml), path)
-            model = M.load_model(path)
+        model = M.load_model(path)
         _MODELS[path] = (model, M.leaf_tables(spark, path, model))
     return _MODELS[path]
 

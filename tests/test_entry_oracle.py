@@ -3,7 +3,7 @@ import duckdb
 from conftest import SF001
 
 NAMES = ["quality_counts", "couple_metrics", "zscore_outliers", "recommendations", "import_log",
-         "blocking_by_rule", "entity_resolution", "performance_lookup"]
+         "blocking_by_rule", "entity_resolution_exact", "performance_lookup_exact"]
 
 
 def _norm(v):
