@@ -55,7 +55,7 @@ ROUNDS, CENTRES, WORTH = 1, 8, 0.02
 #: Bins of a set's members, and nodes of a list that a tile takes from each of two blocks.
 BINS, TILE = 256, 1024
 #: Tasks over which the lists of one first node are spread.
-SALTS = 8
+SALTS = 2
 FULL = 255
 SLICE = 1 << 20
 
