@@ -127,3 +127,46 @@ def test_rows_of_a_null_key_are_kept_in_quarantine(spark, tmpdir_path):
     kept = spark.read.schema(S.HISTORY_SCHEMA).parquet(load_job.quarantine_path(hist)).collect()
     assert sorted((r.batch_id, r.row_index, r.trs_pct) for r in kept) == sorted((b, i, t) for b in ("b1", "b2") for i, t in ((1, 40.0), (2, None)))
     assert H.read_history(spark, hist).count() == 2
+
+
+def test_first_per_key_ships_no_rows_and_keeps_one_row_of_a_place(spark):
+    """The whole rows were sorted and shuffled by key for the few keys that repeat."""
+    from oeeforge.operators import load as L
+
+    rows = [("a", "m", "f2", 0, 1), ("a", "m", "f1", 9, 2), ("a", "m", "f1", 3, 3), ("b", "m", "f1", 1, 4), ("b", None, None, None, 5), ("b", None, "f1", 2, 6)]
+    frame = lambda own: spark.createDataFrame(own, "code_of string, machine string, source_file string, row_index long, x int")
+    got = L.first_per_key(frame(rows))
+    assert sorted(r.x for r in got.collect()) == [3, 4, 5]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Union" not in plan
+    # equal places: one row of the key is left
+    assert L.first_per_key(frame(rows + [("a", "m", "f1", 3, 7)])).where("code_of = 'a'").count() == 1
+
+
+def test_groups_are_aggregated_alike_below_and_above_a_tasks_rows(spark, monkeypatch):
+    """Buffers of exact means were shipped for nearly every row of small groups."""
+    from pyspark.sql import functions as F
+
+    from oeeforge.functions import groups
+    from oeeforge.functions.columns import exact_mean
+
+    rows = spark.range(3000).selectExpr("if(id < 1500, 'hot', concat('k', id % 700)) a", "if(id % 50 = 0, null, 'm') b", "id / 7 x")
+    aggs = [F.count(F.lit(1)).alias("n"), exact_mean("x").alias("m")]
+    want = sorted(map(str, rows.groupBy("a", "b").agg(*aggs).collect()))
+    assert sorted(map(str, groups.aggregate(rows, ["a", "b"], aggs).collect())) == want
+    monkeypatch.setattr(groups, "ROWS_PER_TASK", 500)
+    got = groups.aggregate(rows, ["a", "b"], aggs)
+    assert sorted(map(str, got.collect())) == want
+    assert "RepartitionByExpression" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_analysis_view_writes_only_its_columns(spark, monkeypatch):
+    """The whole history, messages included, was written for every analysis."""
+    from oeeforge import schema as S
+    from oeeforge.plans import jobs
+
+    written = []
+    stage = jobs.materialize
+    monkeypatch.setattr(jobs, "materialize", lambda df, name="stage": written.append(df.columns) or stage(df, name))
+    assert jobs.analysis_view(spark, "/root/testdata/sf0.001").columns == list(S.ANALYSIS_COLUMNS)
+    assert written == [list(S.ANALYSIS_COLUMNS)]
