@@ -1,14 +1,20 @@
-"""Operator 2: main text of web pages, without each host's frequent text runs. A frequency filter, not yet equivalence classes.
-
-1. Every page is read as text runs, each in its role (the path of its enclosing containers). Tags are no tokens. Numbers of pages
-   and sizes build up on the map side, so a host with a third of all pages is no group of rows anywhere.
-2. Text runs on at least ``MIN_PAGES`` pages and ``MIN_SHARE`` of the host's pages are its template. They are grouped by occurrence
-   vector (sums of page hashes), but the groups have no effect: order and nesting are not checked, and copies of a page count
-   as pages, so the paragraphs of an article on most of a host's pages are taken for template. Of what is left, the
-   container that holds most of the host's text, with the article or main element preferred, is where its articles are.
-3. Every page gives the blocks of that slot, without text runs of the template and without parts whose element,
-   role, class or id says menu, header, footer, sidebar, notice, advert, form or comments. A page without its host's
-   slot, or of a host with few pages, falls back to its own largest slot.
+"""Operator 2: main text of web pages, without the template that each host's pages share, by equivalence classes of tokens.
+
+1. Every distinct page of a host is read as tokens: the tags of blocks and containers, and the text runs, each in its role (the path
+   of its enclosing containers). A token's occurrence vector, how often it is on each page, is kept as sums of hashes, which
+   build up on the map side, so a host with a third of all pages is no group of rows anywhere.
+2. Tokens of one occurrence vector are an equivalence class. Classes of at least ``MIN_TOKENS`` tokens on at least ``MIN_PAGES`` distinct
+   pages and ``MIN_SHARE`` of the host's are held against the pages again: a class is kept if its tokens come in one order on all of
+   its pages, if it crosses no class of more pages (each lies between two tokens of the other, or beside it), and if its
+   pages hold at least as much text outside of all classes as it has itself (near copies of one article do not). The text
+   runs of the classes kept are the host's template. Of the text left, the container that holds most of it, with the
+   article or main element preferred, is the slot of the host's articles.
+3. Every page gives the blocks of that slot, without text runs of the template (but with headings that text of the page follows)
+   and without parts whose element, role, class or id says menu, header, footer, sidebar, notice, advert, form or comments. A page
+   without its host's slot, or of a host with few pages, falls back to its own largest slot.
+
+No token is on ``MIN_SHARE`` of a host's pages unless it is among the tokens of that many, so a host's classes hold at most 1 / ``MIN_SHARE``
+times the tokens of its average page: that is what a page is sent.
 
 Defined cases: null html is empty and has an empty text; pages without url share one host; broken markup (missing ends,
 stray ends, text after the end) is read as browsers do in the common cases. Rows stay one to one, with repeats, equal ids
@@ -29,9 +35,10 @@ from pyspark.sql import functions as F
 
 from oeeforge.llm import common
 
-#: A text run is template text from this many pages and this share of the host's pages on.
-MIN_PAGES = 10
-MIN_SHARE = 0.6
+#: A class of tokens is large and frequent from this many tokens, distinct pages and share of the host's distinct pages on.
+MIN_TOKENS = 3
+MIN_PAGES = 5
+MIN_SHARE = 0.05
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -60,8 +67,9 @@ class Block:
         self.path, self.out, self.text, self.heading = path, out, text, heading
 
 
-def read_blocks(page: str) -> list[Block]:
-    """The text blocks of a page in page order, each with the path of its containers."""
+def read_blocks(page: str, marks: list[tuple[str, str, int]] | None = None) -> list[Block]:
+    """The text blocks of a page in page order, each with the path of its containers. ``marks`` gets the page's tokens as (path, value,
+    characters): text runs, and tags (without characters) that begin a block or end a container, all outside of parts left out."""
     blocks: list[Block] = []
     # open elements: name, path of containers, is it out of the article, is it a header
     stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
@@ -76,11 +84,18 @@ def read_blocks(page: str) -> list[Block]:
                 _, path, out, header = stack[-1]
                 heading = any(s[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for s in stack[-4:])
                 blocks.append(Block(path, out or (header and not (heading and ("/article" in path or "/main" in path))), text, heading))
+                if marks is not None and not blocks[-1].out:
+                    marks.append((path, text, len(text)))
+
+    def end(upto: int) -> None:
+        if marks is not None:
+            marks.extend((path, f"</{name}", 0) for name, path, out, header in reversed(stack[upto:]) if name in _CONTAINERS and not (out or header))
+        del stack[upto:]
 
     def close(upto: int) -> None:
         if any(s[0] in _BLOCKS for s in stack[upto:]):
             flush()
-        del stack[upto:]
+        end(upto)
 
     at = 0
     for m in _TAG.finditer(page):
@@ -105,7 +120,7 @@ def read_blocks(page: str) -> list[Block]:
                 "p", "h1", "h2", "h3", "h4", "h5", "h6")
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] in ends:
-                    del stack[k:]
+                    end(k)
                     break
                 if stack[k][0] in _CONTAINERS:
                     break
@@ -132,6 +147,8 @@ def read_blocks(page: str) -> list[Block]:
         header = header or name == "header"
         if name in _CONTAINERS:
             path = f"{path}/{name}{re.sub('[0-9]+', '0', own)}"
+        if marks is not None and name in _BLOCKS and not (out or header):
+            marks.append((path, f"<{name}", 0))
         stack.append((name, path, out, header))
     run.append(page[at:] if page[at : at + 1] != "<" else "")
     flush()
@@ -175,37 +192,123 @@ def _hash(*parts: str) -> int:
     return xxhash.xxh64_intdigest("\x00".join(parts)) - (1 << 63)
 
 
+def _marked(page: str) -> list[tuple[str, int, int]]:
+    """The tokens of a page in page order: path, hash and characters."""
+    marks: list[tuple[str, str, int]] = []
+    read_blocks(page, marks)
+    return [(path, _hash(path, value) if size else _hash(path, value, "tag"), size) for path, value, size in marks]
+
+
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per distinct text run of a page and its role, with its count and size."""
+    """A row per distinct token of a page, with its size, its first place and its entry of the occurrence vector."""
     for batch in batches:
         for part in common.pieces(batch, "html", 4 << 20):
             rows: list[tuple] = []
             for host, key, page in zip(*(part.column(c).to_pylist() for c in ("host", "page_key", "html"))):
-                seen: Counter[tuple[str, str]] = Counter((b.path, b.text) for b in read_blocks(page) if not b.out)
-                for (path, text), n in seen.items():
+                seen: dict[tuple[str, int], list[int]] = {}
+                for place, (path, token, size) in enumerate(_marked(page)):
+                    seen.setdefault((path, token), [0, size, place])[0] += 1
+                for (path, token), (n, size, place) in seen.items():
                     vector = xxhash.xxh64_intdigest(f"{key}:{n}")
-                    rows.append((host, path, _hash(path, text), n * len(text), vector & 0xFFFFFFFF, vector >> 32))
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["host", "path", "token", "size", "low", "high"])
+                    rows.append((host, path, token, n * size, place, vector & 0xFFFFFFFF, vector >> 32))
+            kinds = (pa.string(), pa.string(), *[pa.int64()] * 5)
+            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["host", "path", "token", "size", "place", "low", "high"])
+
+
+def broken_classes(tokens: list[int], order: dict[int, tuple[int, int]], lengths: list[int]) -> tuple[set[int], set[int]]:
+    """The classes on a page, and those of them whose tokens do not come in order or that cross another one. ``order``: class and place in
+    it of a token; ``lengths``: tokens of each class. Of two classes that cross the one with the greater number is broken."""
+    present: set[int] = set()
+    broken: set[int] = set()
+    opened: list[list[int]] = []  # class and next place, from the outermost on
+    for token in tokens:
+        if token not in order:
+            continue
+        k, place = order[token]
+        present.add(k)
+        at = next((i for i in range(len(opened) - 1, -1, -1) if opened[i][0] == k), None)
+        if (opened[at][1] if at is not None else 0) != place:
+            broken.add(k)
+            if at is not None:
+                del opened[at]
+            if place:
+                continue
+            at = None
+        if at is None:
+            at = len(opened)
+            opened.append([k, 0])
+        inner = [x[0] for x in opened[at + 1 :]]
+        if inner and min(inner) < k:
+            broken.add(k)
+            del opened[at]
+            continue
+        broken.update(inner)
+        del opened[at + 1 :]
+        opened[at][1] += 1
+        if opened[at][1] == lengths[k]:
+            opened.pop()
+    return present, broken | {x[0] for x in opened}
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per page and class on it: is it broken there, and the characters of the page outside of all classes."""
+    known: dict[str, tuple[list, dict[int, tuple[int, int]]]] = {}
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+    for batch in batches:
+        for part in common.pieces(batch, "html", 4 << 20):
+            rows: list[tuple] = []
+            for host, page, classes in zip(*(part.column(c).to_pylist() for c in ("host", "html", "classes"))):
+                if host not in known:
+                    if len(known) > 1000:
+                        known.clear()
+                    classes = sorted(classes, key=lambda c: (-c["n_pages"], c["low"], c["high"]))
+                    known[host] = (classes, {t: (k, i) for k, c in enumerate(classes) for i, t in enumerate(c["tokens"])})
+                classes, order = known[host]
+                tokens = _marked(page)
+                free = sum(size for _, token, size in tokens if token not in order)
+                present, broken = broken_classes([token for _, token, _ in tokens], order, [len(c["tokens"]) for c in classes])
+                rows += [(host, classes[k]["low"], classes[k]["high"], int(k in broken), free) for k in present]
+            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["host", "low", "high", "broken", "free"])
+
+
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """``pages(host, page_key, html)`` with one row for the copies of a page on a host. Only copied pages are grouped, on the map side first."""
+    counted = pages.groupBy(F.xxhash64("host", "page_key").alias("copied")).agg(F.count(F.lit(1)).alias("n"))
+    copied = common.stage_table(counted.where("n > 1").select("copied"), "page-copies")
+    keyed = pages.select("host", "page_key", "html", F.xxhash64("host", "page_key").alias("copied"))
+    once = keyed.join(copied, "copied", "left_semi").groupBy("host", "page_key").agg(F.any_value("html").alias("html"))
+    return keyed.join(copied, "copied", "left_anti").select("host", "page_key", "html").unionByName(once)
+
+
+def equivalence_classes(frequent: DataFrame) -> DataFrame:
+    """host, low, high, n_pages, size and the tokens in page order of every large class of ``frequent`` tokens."""
+    classes = frequent.groupBy("host", "low", "high").agg(
+        F.sort_array(F.collect_list(F.struct("place", "token"))).alias("placed"), F.sum("size").alias("size"), F.first("n_pages").alias("n_pages"))
+    return classes.where(F.size("placed") >= MIN_TOKENS).select("host", "low", "high", "n_pages", "size", F.col("placed.token").alias("tokens"))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, its main slot and the hashes of its template's text runs; from ``pages(host, page_key, html)``."""
-    tokens = pages.mapInArrow(_tokens, "host string, path string, token long, size long, low long, high long")
-    runs = tokens.groupBy("host", "path", "token").agg(
-        F.count(F.lit(1)).alias("n_pages"), F.sum("size").alias("size"), F.sum("low").alias("low"), F.sum("high").alias("high"))
+    """host, its main slot and the hashes of its template's text runs; from ``pages(host, page_key, html)``, equal keys for equal pages."""
+    pages = distinct_pages(pages)
+    tokens = pages.mapInArrow(_tokens, "host string, path string, token long, size long, place long, low long, high long")
+    runs = tokens.groupBy("host", "path", "token").agg(F.count(F.lit(1)).alias("n_pages"), *[F.sum(c).alias(c) for c in ("size", "place", "low", "high")])
     runs = common.stage_table(runs, "page-runs")
     hosts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
-    # only runs on many pages can be in a class of the template
     frequent = runs.where(F.col("n_pages") >= MIN_PAGES).join(hosts, "host").where(F.col("n_pages") >= MIN_SHARE * F.col("host_pages"))
-    classes = frequent.groupBy("host", "low", "high").agg(F.collect_set("token").alias("tokens"), F.sum("size").alias("size"))
-    fixed = classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))
-    known = frequent.groupBy("host", "path").agg(F.sum("size").alias("fixed"))
+    classes = common.stage_table(equivalence_classes(frequent), "page-classes")
+    of_host = classes.groupBy("host").agg(F.collect_list(F.struct("low", "high", "n_pages", "tokens")).alias("classes"))
+    held = pages.select("host", "html").join(of_host, "host").mapInArrow(_held, "host string, low long, high long, broken long, free long")
+    held = held.groupBy("host", "low", "high").agg(F.sum("broken").alias("broken"), F.sum("free").alias("free"))
+    key = ["host", "low", "high"]
+    kept = common.stage_table(classes.join(held, key).where("broken = 0 AND free >= size").select(key), "page-kept")
+    fixed = common.stage_table(frequent.where("size > 0").join(kept, key).select("host", "path", "token", "size"), "page-fixed")
+    known = fixed.groupBy("host", "path").agg(F.sum("size").alias("fixed"))
     sizes = (
-        runs.groupBy("host", "path").agg(F.sum("size").alias("size")).join(known, ["host", "path"], "left")
+        runs.where("size > 0").groupBy("host", "path").agg(F.sum("size").alias("size")).join(known, ["host", "path"], "left")
         .select("host", "path", (F.col("size") - F.coalesce("fixed", F.lit(0))).alias("size"))
     )
     found = main_slots(sizes)
+    fixed = fixed.groupBy("host").agg(F.collect_list("token").alias("template"))
     return hosts.join(found, "host", "left").join(fixed, "host", "left").select("host", "slot", F.coalesce("template", F.array().cast("array<long>")).alias("template"))
 
 
@@ -262,7 +365,13 @@ def main_text(page: str, slot: str | None, template: frozenset[int]) -> str:
                 sizes[b.path] += len(b.text)
         own = main_path(sizes)
         kept = [b for b in blocks if own is not None and within(b.path, own)]
-    return "\n\n".join(b.text for b in kept if _hash(b.path, b.text) not in template)
+    texts: list[str] = []
+    follows = False  # does the next block stay
+    for b in reversed(kept):
+        follows = _hash(b.path, b.text) not in template or (b.heading and follows)
+        if follows:
+            texts.append(b.text)
+    return "\n\n".join(reversed(texts))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +392,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url and main text of every row of ``pages(page_id, url, html)``."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), common.whole_text("html").alias("html"))
-    pages = pages.withColumn("host", host).withColumn("page_key", F.xxhash64("page_id", "url", "html"))
+    pages = pages.withColumn("host", host).withColumn("page_key", F.xxhash64("html"))
     found = common.stage_table(templates(pages), "page-templates")
     # the join only adds a host's one slot and its template to its pages: large partitions of a hot host can be split at run time
     joined = pages.select("host", "page_id", "url", "html").join(found, "host", "left")

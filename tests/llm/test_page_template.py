@@ -54,6 +54,40 @@ def test_a_hosts_slot_is_found_without_its_paths(spark):
     assert len(own) == 1 and len(str(own[0])) < 1000
 
 
+def test_only_ordered_and_nested_classes_of_distinct_pages_are_template(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    own = lambda i, k: " ".join(words[(i * k + j) % 10] for j in range(20)) + f" number {i} {k}."
+    shell = lambda inner: f"<html><body><div class='box'>{inner}</div></body></html>"
+    copy = shell("<p>Copied first.</p><p>Copied second.</p><p>Copied third.</p>")
+    pages = [(i, "http://copies.example/", copy, None) for i in range(12)] + [(12 + i, "http://copies.example/", shell(f"<p>{own(i, 3)}</p>"), None) for i in range(2)]
+    want = {**{i: "Copied first.\n\nCopied second.\n\nCopied third." for i in range(12)}, **{12 + i: own(i, 3) for i in range(2)}}
+    for i in range(12):  # a heading in every article stays, a paragraph in every one does not
+        pages.append((100 + i, "http://headings.example/", shell(f"<p>{own(i, 3)}</p><h2>Summary</h2><p>{own(i, 7)}</p><p>Always the same.</p>"), None))
+        want[100 + i] = f"{own(i, 3)}\n\nSummary\n\n{own(i, 7)}"
+    for i in range(20):  # two kinds of pages, each with a list of its own
+        links = "<ul><li>Alps</li><li>Lakes</li></ul>" if i < 8 else "<dl><dt>Rail</dt><dd>Road</dd></dl>"
+        pages.append((200 + i, "http://kinds.example/", shell(f"{links}<p>{own(i, 3)}</p><p>{own(i, 7)}</p>"), None))
+        want[200 + i] = f"{own(i, 3)}\n\n{own(i, 7)}"
+    said = ["Winds are light.", "Rain comes late.", "Nights stay cool."]
+    for i in range(12):  # on every page, but in no order
+        turn = [said[(i + j) % 3] for j in range(3)]
+        pages.append((300 + i, "http://order.example/", shell("".join(f"<blockquote>{x}</blockquote>" for x in turn) + f"<p>{own(i, 3)}</p>"), None))
+        want[300 + i] = "\n\n".join([*turn, own(i, 3)])
+    assert {i: x for i, _, x in text(spark, pages)} == want
+
+
+def test_classes_out_of_order_or_crossing_are_broken():
+    order = {t: (k, i) for k, c in enumerate([[1, 2, 3], [10, 11, 12], [20, 21]]) for i, t in enumerate(c)}
+    check = lambda tokens: t.broken_classes(tokens, order, [3, 3, 2])
+    assert check([1, 10, 11, 12, 2, 20, 21, 20, 21, 3]) == ({0, 1, 2}, set())
+    assert check([1, 5, 2, 3, 1, 2, 3]) == ({0}, set())
+    assert check([1, 3, 2]) == ({0}, {0})
+    assert check([1, 10, 2, 11, 12, 3]) == ({0, 1}, {1})
+    assert check([10, 1, 11, 12, 2, 3]) == ({0, 1}, {1})
+    assert check([20, 10, 11, 21, 12]) == ({1, 2}, {2})
+    assert check([1, 2]) == ({0}, {0})
+
+
 def test_odd_pages(spark):
     long = "<article>" + "".join(f"<p>{'word ' * 50}{i}</p>" for i in range(3000))
     pages = [(1, None, None, "x"), (None, None, "", "x"), (2, "no url", "plain text only", "x"), (3, "http://d.example", long, "x"), (3, "http://d.example", long, "x"),
